@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import langid, simhash, tokenbin
+from pagemill.llm import debruijn, langid, simhash, tokenbin
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -30,3 +30,8 @@ def op9_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return tokenbin.encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"), 1)
+
+
+@query
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
