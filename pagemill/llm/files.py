@@ -17,7 +17,7 @@ def create(folder: str, name: str):
     system, path = place(uri)
     if isinstance(system, fs.LocalFileSystem):
         system.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    return system.open_output_stream(path), uri
+    return system.open_output_stream(path, compression=None), uri
 
 
 def open_input(uri: str):
