@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import annsearch, debruijn, langid, simhash, tokenbin, warc
+from pagemill.llm import annsearch, debruijn, decontaminate, langid, mixing, simhash, tokenbin, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -69,3 +69,51 @@ WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
      r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+
+@query
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+ORACLES["op5_decontamination"] = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\pL\pN]+'), lambda t: t <> '') AS w FROM documents),
+     i AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\pL\pN]+'), lambda t: t <> '') AS w FROM benchmark),
+     dt AS (SELECT doc_id, unnest(w) AS t, unnest(range(len(w))) AS p FROM d),
+     it AS (SELECT item_id, len(w) AS n, least(16, len(w)) AS wide, unnest(w) AS t, unnest(range(len(w))) AS q FROM i WHERE len(w) >= 7),
+     m AS (SELECT doc_id, item_id, wide, q, p - q AS diagonal FROM dt JOIN it USING (t)),
+     c AS (SELECT * FROM m QUALIFY count(*) OVER (PARTITION BY doc_id, item_id, diagonal) >= wide - floor(wide * 3 / 16)),
+     b AS (SELECT doc_id, item_id, diagonal, wide, count(*) OVER (PARTITION BY doc_id, item_id, diagonal) AS matched,
+                  count(*) OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY q RANGE BETWEEN CURRENT ROW AND 15 FOLLOWING) AS best FROM c)
+SELECT doc_id, item_id, max(matched)::BIGINT AS matched FROM b WHERE best >= wide - floor(wide * 3 / 16) GROUP BY ALL
+"""
+
+
+@query
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return mixing.mix(docs, most_repeats=2.0, budget="total").select("doc_id", "source", "n_tokens", "copies")
+
+
+ORACLES["op6_mixing"] = r"""
+WITH RECURSIVE
+r AS (SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens,
+             ('0x' || substr(md5('42:' || coalesce(doc_id::VARCHAR, '')), 1, 4))::INTEGER AS bucket FROM documents),
+s AS (SELECT source, sum(n_tokens)::BIGINT AS t FROM r GROUP BY source HAVING sum(n_tokens) > 0),
+h AS (SELECT source, t, t / (SELECT sum(t) FROM s) AS p FROM s),
+bisect(lo, hi) AS (
+    SELECT -1, 1048576
+    UNION ALL
+    SELECT CASE WHEN ok THEN lo ELSE mid END, CASE WHEN ok THEN mid ELSE hi END
+    FROM (SELECT lo, hi, (lo + hi) // 2 AS mid,
+                 (SELECT max(pow(p, ((lo + hi) // 2) / 1048576.0::DOUBLE - 1)) / sum(pow(p, ((lo + hi) // 2) / 1048576.0::DOUBLE)) FROM h) <= 2.0 AS ok
+          FROM bisect WHERE hi - lo > 1)),
+e AS (SELECT min(hi) / 1048576.0::DOUBLE AS a FROM bisect),
+w AS (SELECT source, t, floor(pow(p, a) / (SELECT sum(pow(p, a)) FROM h, e) * (SELECT sum(t) FROM s)::DOUBLE + 1e-6)::BIGINT AS own FROM h, e),
+g AS (SELECT source, t, own // t AS passes, own % t AS rest, greatest(0, 16 - ceil(log2(greatest(1.0, t / 1048576.0::DOUBLE))))::INTEGER AS shift FROM w),
+d AS (SELECT r.*, g.passes, g.rest, r.bucket >> g.shift AS block FROM r LEFT JOIN g ON r.source IS NOT DISTINCT FROM g.source),
+o AS (SELECT *, sum(n_tokens) OVER (PARTITION BY source
+              ORDER BY md5('42:block:' || coalesce(source, '') || ':' || block::VARCHAR), block, md5('42:document:' || coalesce(doc_id::VARCHAR, '')), doc_id
+              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM d)
+SELECT doc_id, source, n_tokens, coalesce(passes + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END, 1)::BIGINT AS copies FROM o
+"""
