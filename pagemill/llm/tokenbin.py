@@ -20,6 +20,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -37,7 +38,7 @@ BLOCK = 1 << 16
 #: Blocks read at once.
 RUN = 16
 #: Words whose ids a process keeps, and the length from which a word isn't kept.
-KEPT_WORDS, LONG_WORD = 600_000, 64
+KEPT_WORDS, LONG_WORD = 1_000_000, 64
 #: What sets words apart when many are encoded in one call (a word of its own), and how many are.
 MARK, LINE = b" \x01 ", 256
 #: Words looked up together.
@@ -164,6 +165,12 @@ class Encoder:
         return next(self.encode_many([text]))
 
 
+@lru_cache(1)
+def encoder_of(path: str) -> Encoder:
+    """One for all tasks that a worker process runs, so words are learned once a process."""
+    return Encoder(path)
+
+
 class Writer:
     def __init__(self, folder: str, vocabulary: int, part: int):
         self.width, self.vocabulary = width_of(vocabulary), vocabulary
@@ -248,7 +255,7 @@ def _write(folder: str, tokenizer: str, end_id: int):
         encoder, out, part = None, None, TaskContext.get().partitionId()
         for batch in batches:
             if out is None and batch.num_rows:
-                encoder = Encoder(tokenizer)
+                encoder = encoder_of(tokenizer)
                 out = Writer(folder, encoder.vocabulary, part)
             texts = (t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column(1))
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode_many(texts) if out else (), strict=True):
@@ -290,7 +297,8 @@ def read(manifest: DataFrame) -> DataFrame:
     # one row a file, so the running total is over few rows
     before = F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     based = manifest.select("uri", F.coalesce(before, F.lit(0)).alias("base"))
-    return based.repartition("uri").mapInArrow(_read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    # a task a file: a number given by the caller isn't coalesced, however short the rows are
+    return based.repartition(max(1, manifest.count())).mapInArrow(_read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def encode(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
