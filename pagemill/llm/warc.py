@@ -298,7 +298,8 @@ def _read(payloads: bool):
 
 def read(archives: DataFrame, payloads: bool = True) -> DataFrame:
     """``archives(uri)`` to one row per record, and per gap (``gap`` holds the reason, the rest of the row is null)."""
-    return archives.select("uri").repartition("uri").mapInArrow(_read(payloads), SCHEMA)
+    # a task a file: a number given by the caller isn't coalesced, however short the rows are
+    return archives.select("uri").repartition(max(1, archives.count())).mapInArrow(_read(payloads), SCHEMA)
 
 
 def page_number(urn):
