@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import annsearch, debruijn, decontaminate, langid, mixing, simhash, tokenbin, warc
+from pagemill.llm import annsearch, debruijn, decontaminate, langid, licences, mixing, simhash, surrogates, tokenbin, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -117,3 +117,17 @@ o AS (SELECT *, sum(n_tokens) OVER (PARTITION BY source
               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM d)
 SELECT doc_id, source, n_tokens, coalesce(passes + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END, 1)::BIGINT AS copies FROM o
 """
+
+
+@query
+def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), licences.known(spark))
+
+
+ORACLES["op3_licences"] = licences.duckdb_scan()
+
+
+@query
+def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return surrogates.pseudonymise(docs, b"pagemill-surrogates").select("doc_id", "text", "n_entities")
