@@ -55,6 +55,10 @@ _KINDS = (
     ("name", rf"(?:(?<=\s)|(?<=^)|(?<=[(\"]))(?:{_NAMES})(?:[ ]\w\.)?[ ][^\W\d_a-zа-яα-ω][^\W\d_]+"),
 )
 PATTERN = re.compile("|".join(f"(?P<{kind}>{p})" for kind, p in _KINDS))
+_UNNAMED = re.compile("|".join(f"(?P<{kind}>{p})" for kind, p in _KINDS if kind != "name"))
+_DIGIT, _HEX_LETTERS = re.compile("[0-9]"), re.compile("[a-f]{32}|[A-F]{32}")
+_MARKS = ("@", "AKIA", "sk-", "sk_", "ghp-", "ghp_", "xoxb-", "xoxb_", "xoxp-", "xoxp_")
+_ALL_NAMES = sorted({n for names in GIVEN.values() for n in names})
 
 
 def _round(key: bytes, *parts) -> int:
@@ -191,8 +195,17 @@ def laid_out(kind: str, text: str, value: str) -> str:
 
 
 def entities(text: str) -> Iterator[tuple[int, int, str, str]]:
-    """Start, end, kind and text of each entity, from left to right."""
-    for m in PATTERN.finditer(text):
+    """Start, end, kind and text of each entity, from left to right.
+
+    Every entity holds a given name, a digit, a mark or a long run of hexadecimal letters; texts without skip the patterns.
+    """
+    if any(n in text for n in _ALL_NAMES):
+        pattern = PATTERN
+    elif _DIGIT.search(text) or any(m in text for m in _MARKS) or _HEX_LETTERS.search(text):
+        pattern = _UNNAMED
+    else:
+        return
+    for m in pattern.finditer(text):
         yield m.start(), m.end(), m.lastgroup, m[0]
 
 
