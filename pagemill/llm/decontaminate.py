@@ -4,10 +4,10 @@ Tokens are the maximal runs of letters and digits of the lower-cased text.  A ma
 from a place on and ignores the others; the hash of what it picks is a seed.  Seeds of all training texts and of all
 benchmark items are joined, and around each hit the item is laid over the text on the hit's diagonal: the text holds
 the item if some ``window`` consecutive tokens of it (all, if it has fewer) differ from the text in at most
-``window * SUBSTITUTED`` tokens, rounded down.
+``window * SUBSTITUTED`` tokens, rounded down; of 11 or 12 tokens one may differ, of fewer none.
 
-``MASKS`` hit every window of 11 tokens or more within that bound (``tests/llm`` goes through all patterns), so
-the join loses no such overlap.  Items under 7 tokens hold no seed and match nothing.
+``MASKS`` hit every window within that bound (``tests/llm`` goes through all patterns), so the join loses no such
+overlap.  Items under 7 tokens hold no seed and match nothing.
 
 Defined cases: null and empty texts hold nothing; repeated rows and rows that share an id count as one id, which holds
 what any of them holds; null ids form one group; items that share an id likewise; empty tables give an empty table;
@@ -26,6 +26,11 @@ WINDOW, SUBSTITUTED = 16, 3 / 16
 BROADCAST_TOKENS = 1_000_000
 
 
+def allowed(wide: Column) -> Column:
+    """How many tokens of a window may differ."""
+    return F.when(wide < 11, 0).when(wide < 13, 1).otherwise(F.floor(wide * SUBSTITUTED))
+
+
 def tokens(text: Column) -> Column:
     trimmed = F.regexp_replace(F.lower(text), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
     return F.when(F.coalesce(trimmed, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[^\p{L}\p{N}]+"))
@@ -50,7 +55,7 @@ def _verified(hits: DataFrame, window: int) -> DataFrame:
     same = hits.withColumn("same", F.expr("transform(sequence(0, size(b) - 1), j -> if(get(h, j + diagonal) = b[j], 1, 0))"))
     wide = same.withColumn("wide", F.least(F.lit(window), F.size("b")))
     best = wide.withColumn("best", F.expr("array_max(transform(sequence(0, size(b) - wide), s -> aggregate(slice(same, s + 1, wide), 0, (a, x) -> a + x)))"))
-    held = best.where(F.col("best") >= F.col("wide") - F.floor(F.col("wide") * SUBSTITUTED))
+    held = best.where(F.col("best") >= F.col("wide") - allowed(F.col("wide")))
     return held.select("id", "item", F.expr("aggregate(same, 0, (a, x) -> a + x)").cast("bigint").alias("matched"))
 
 

@@ -80,12 +80,12 @@ ORACLES["op5_decontamination"] = r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\pL\pN]+'), lambda t: t <> '') AS w FROM documents),
      i AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\pL\pN]+'), lambda t: t <> '') AS w FROM benchmark),
      dt AS (SELECT doc_id, unnest(w) AS t, unnest(range(len(w))) AS p FROM d),
-     it AS (SELECT item_id, len(w) AS n, least(16, len(w)) AS wide, unnest(w) AS t, unnest(range(len(w))) AS q FROM i WHERE len(w) >= 7),
-     m AS (SELECT doc_id, item_id, wide, q, p - q AS diagonal FROM dt JOIN it USING (t)),
-     c AS (SELECT * FROM m QUALIFY count(*) OVER (PARTITION BY doc_id, item_id, diagonal) >= wide - floor(wide * 3 / 16)),
-     b AS (SELECT doc_id, item_id, diagonal, wide, count(*) OVER (PARTITION BY doc_id, item_id, diagonal) AS matched,
+     it AS (SELECT item_id, len(w) AS n, least(16, len(w)) AS wide, CASE WHEN len(w) < 11 THEN 0 WHEN len(w) < 13 THEN 1 ELSE floor(least(16, len(w)) * 3 / 16) END AS free, unnest(w) AS t, unnest(range(len(w))) AS q FROM i WHERE len(w) >= 7),
+     m AS (SELECT doc_id, item_id, wide, free, q, p - q AS diagonal FROM dt JOIN it USING (t)),
+     c AS (SELECT * FROM m QUALIFY count(*) OVER (PARTITION BY doc_id, item_id, diagonal) >= wide - free),
+     b AS (SELECT doc_id, item_id, diagonal, wide, free, count(*) OVER (PARTITION BY doc_id, item_id, diagonal) AS matched,
                   count(*) OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY q RANGE BETWEEN CURRENT ROW AND 15 FOLLOWING) AS best FROM c)
-SELECT doc_id, item_id, max(matched)::BIGINT AS matched FROM b WHERE best >= wide - floor(wide * 3 / 16) GROUP BY ALL
+SELECT doc_id, item_id, max(matched)::BIGINT AS matched FROM b WHERE best >= wide - free GROUP BY ALL
 """
 
 
