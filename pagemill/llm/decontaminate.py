@@ -32,8 +32,7 @@ def allowed(wide: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    trimmed = F.regexp_replace(F.lower(text), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-    return F.when(F.coalesce(trimmed, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[^\p{L}\p{N}]+"))
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
 def token_hashes(text: Column) -> Column:
