@@ -131,3 +131,16 @@ ORACLES["op3_licences"] = licences.duckdb_scan()
 def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return surrogates.pseudonymise(docs, b"pagemill-surrogates").select("doc_id", "text", "n_entities")
+
+
+ORACLES["op10_substring_dedup"] = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+     p AS (SELECT doc_id, w, unnest(range(len(w) - 19)) AS s FROM d WHERE len(w) >= 20),
+     k AS (SELECT doc_id, s, array_to_string(w[s + 1:s + 20], ' ') AS g FROM p),
+     f AS (SELECT doc_id, s, row_number() OVER (PARTITION BY g ORDER BY doc_id, s) AS r FROM k),
+     c AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS i FROM f WHERE r > 1),
+     x AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM d),
+     t AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM x ANTI JOIN c USING (doc_id, i) GROUP BY x.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id)
+"""
