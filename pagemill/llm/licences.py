@@ -10,6 +10,10 @@ twice is reported under each of its ids; an empty table gives an empty table; ot
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +33,10 @@ SPELLINGS = (
     (r"\bversion ([0-9])", r"v\1"),
     (r"\bv\.? ?([0-9])", r"v\1"),
 )
+#: Registries of up to so many forms are searched only in texts that hold a word of one of them.
+MOST_ANCHORS = 64
+#: What the spellings make of words.
+_MADE = ("and", "license", "acknowledgment", "authoriz", "organiz", "favor", "while", "noncommercial", "percent")
 #: A line that is a copyright statement: the word or sign, then a year or a holder.
 COPYRIGHT_LINE = r"(?m)^[ \t#*/;-]*(copyright|©|\(c\))[ \t]*(©|\(c\))?[^\n]*$"
 
@@ -74,10 +82,29 @@ def canonical(lines: Column) -> Column:
     return F.trim(F.translate(lines, "\n", " "))
 
 
+def anchors(forms: list[str]) -> set[str]:
+    """For each form a word that a text must hold as it stands to have that form; empty if a form has none.
+
+    Canonicalisation changes letters only where a spelling becomes another, so a word without any of those others
+    stands in the text itself (in lower case).
+    """
+    found = set()
+    for form in forms:
+        own = [w for w in re.findall(r"[a-z]{4,}", form) if not any(x in w for x in _MADE)]
+        if not own:
+            return set()
+        found.add(max(own, key=lambda w: (len(w), w)))
+    return found
+
+
 def scan(docs: DataFrame, licences: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document and licence: ``whole`` (the text is the licence) and ``lines`` (lines that are a licence or notice)."""
     digest = F.sha2(canonical(canonical_lines(F.col("text"))), 256)
     registry = licences.select("license_id", digest.alias("digest")).distinct()
+    forms = [r[0] for r in licences.select(canonical(canonical_lines(F.col("text")))).distinct().limit(MOST_ANCHORS + 1).collect()]
+    held = sorted(anchors(forms)) if len(forms) <= MOST_ANCHORS else []
+    if held:
+        docs = docs.where(reduce(or_, [F.lower(F.col(text_col)).contains(w) for w in held]))
     form = docs.select(F.col(id_col).alias("id"), canonical_lines(F.col(text_col)).alias("form")).where("form is not null")
     units = form.select("id", F.explode(F.concat(F.array(F.struct(F.lit(True).alias("whole"), canonical(F.col("form")).alias("u"))), F.transform(F.split("form", "\n"), lambda x: F.struct(F.lit(False).alias("whole"), F.trim(x).alias("u"))))).alias("x"))
     found = units.where("x.u <> ''").select("id", "x.whole", F.sha2(F.col("x.u"), 256).alias("digest")).join(registry, "digest")
