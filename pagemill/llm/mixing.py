@@ -84,7 +84,8 @@ def mix(
     ``budget``: tokens, "total" for as many as there are, or None (see above).
     """
     scratch = Scratch(docs.sparkSession, "mixing")
-    rows = docs.withColumns({"n_tokens": n_tokens(F.col(text_col)), "__bucket": bucket(F.col(id_col), seed)})
+    # what the text is needed for comes before all shuffles, so a query without the text doesn't move it
+    rows = docs.withColumns({"n_tokens": n_tokens(F.col(text_col)), "__bucket": bucket(F.col(id_col), seed), "__tie": F.xxhash64(F.col(text_col))})
     counted = scratch.write("buckets", rows.groupBy(F.col(source_col).alias("source"), F.col("__bucket").alias("bucket")).agg(F.sum("n_tokens").alias("t")))
     sums = counted.groupBy("source").agg(F.sum("t").alias("t")).where("t > 0")
     total = sums.agg(F.sum("t")).first()[0] or 0
@@ -100,16 +101,17 @@ def mix(
     # 2 ** shift buckets make a block
     shift = F.greatest(F.lit(0), F.lit(16) - F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("t") / F.lit(block_tokens))))).cast("int")
     plan = plan.withColumn("shift", shift)
-    blocks = counted.join(plan, counted["source"].eqNullSafe(plan["source"])).select(plan["source"], "passes", "rest", "shift", F.expr("shiftright(bucket, shift)").alias("block"), counted["t"])
-    blocks = blocks.groupBy("source", "passes", "rest", "shift", "block").agg(F.sum("t").alias("t"))
+    # every bucket's block first, so that all joins are equalities and none pairs a source's buckets with its blocks
+    placed = counted.join(plan, counted["source"].eqNullSafe(plan["source"])).select(plan["source"], "bucket", counted["t"], "passes", "rest", F.expr("shiftright(bucket, shift)").alias("block"))
+    blocks = placed.groupBy("source", "block").agg(F.sum("t").alias("t"))
     place = F.md5(F.concat(F.lit(f"{seed}:block:"), F.coalesce("source", F.lit("")), F.lit(":"), F.col("block").cast("string")))
     over = Window.partitionBy("source").orderBy(place, "block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     blocks = blocks.withColumn("before", F.sum("t").over(over) - F.col("t"))
-    # every bucket's block, so that documents meet blocks by one equality
-    of = counted.select("source", "bucket").alias("c").join(blocks.alias("b"), F.expr("c.source <=> b.source and shiftright(c.bucket, b.shift) = b.block"))
-    of = scratch.write("blocks", of.select(F.col("c.source").alias("__s"), F.col("c.bucket").alias("__b"), "block", "before", "passes", "rest"))
+    of = placed.alias("p").join(blocks.alias("b"), F.expr("p.source <=> b.source and p.block = b.block"))
+    of = scratch.write("blocks", of.select(F.col("p.source").alias("__s"), F.col("p.bucket").alias("__b"), F.col("p.block").alias("block"), "before", "passes", "rest"))
+    scratch.drop("buckets", "shares")
     placed = rows.join(of, F.col(source_col).eqNullSafe(F.col("__s")) & (F.col("__bucket") == F.col("__b")), "left")
-    within = Window.partitionBy(source_col, "block").orderBy(F.md5(F.concat(F.lit(f"{seed}:document:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), id_col, F.xxhash64(F.col(text_col))).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy(source_col, "block").orderBy(F.md5(F.concat(F.lit(f"{seed}:document:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), id_col, "__tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     taken = F.col("before") + F.sum("n_tokens").over(within) <= F.col("rest")
     copies = F.coalesce(F.col("passes") + F.when(taken & (F.col("rest") > 0), 1).otherwise(0), F.lit(1)).cast("bigint")
     return placed.withColumn("copies", copies).select(*[F.col(f"`{c}`") for c in docs.columns], "n_tokens", "copies")
