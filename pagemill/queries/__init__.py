@@ -14,11 +14,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, share: str | None = None):
+    """Registers a query; one whose SQL states a ``share`` of orders also as ``NAME_whole``, over all of them."""
+
     def add(f):
         QUERIES[f.__name__] = f
         if sql is not None:
             SQL[f.__name__] = sql
+        if share is not None:
+            QUERIES[f"{f.__name__}_whole"] = lambda spark, sf: f(spark, sf, share="true")
+            SQL[f"{f.__name__}_whole"] = sql.replace(share, "TRUE")
         return f
 
     return add

@@ -39,10 +39,10 @@ _ROWS = "'<table>' || repeat('<tr><td>cell</td><td translate=\"no\">x</td></tr>'
 @query(f"""
 SELECT page_id, unnest(range(1, n + 1))::INTEGER AS row
 FROM (SELECT o_orderkey AS page_id, 1 + o_orderkey % 3 AS n, {_ROWS} AS html FROM orders WHERE o_orderkey % 20 = 0)
-""")
-def r08_table_rows(spark, sf):
+""", share="o_orderkey % 20 = 0")
+def r08_table_rows(spark, sf, share="o_orderkey % 20 = 0"):
     """Rows of tables numbered in document order; excluded tables have none."""
-    pages = table(spark, sf, "orders").where("o_orderkey % 20 = 0").selectExpr("o_orderkey page_id", f"{_ROWS} html")
+    pages = table(spark, sf, "orders").where(share).selectExpr("o_orderkey page_id", f"{_ROWS} html")
     return S.table_rows(N.dom_nodes(pages)).select("page_id", "row")
 
 
@@ -53,10 +53,10 @@ _HEADS = "'<h1>A' || o_orderkey || '</h1><h3>C</h3><p>one</p><h2>B</h2><p>two</p
 SELECT o_orderkey AS page_id, seg_ord, replace(path, '#', o_orderkey::VARCHAR) AS path
 FROM orders, (VALUES (1, ''), (2, 'A#'), (3, 'A#/C'), (4, 'A#'), (5, 'A#/B'), (6, 'A#/B'), (7, 'A#/B/D'), (8, ''), (9, 'E')) v(seg_ord, path)
 WHERE o_orderkey % 20 = 1
-""")
-def w01_heading_paths(spark, sf):
+""", share="o_orderkey % 20 = 1")
+def w01_heading_paths(spark, sf, share="o_orderkey % 20 = 1"):
     """The headings above each segment: lower ranks end with every heading of their rank or above."""
-    pages = table(spark, sf, "orders").where("o_orderkey % 20 = 1").selectExpr("o_orderkey page_id", f"{_HEADS} html")
+    pages = table(spark, sf, "orders").where(share).selectExpr("o_orderkey page_id", f"{_HEADS} html")
     return S.targets(N.dom_nodes(pages)).select("page_id", "seg_ord", F.array_join("heading_path", "/").alias("path"))
 
 
@@ -67,10 +67,10 @@ _PARAS = "repeat('<p>word</p>', cast(1 + o_orderkey % 4 as int))"
 SELECT page_id, printf('seg-%06d', k) AS id,
        concat_ws(',', CASE WHEN k > 1 THEN printf('seg-%06d', k - 1) END, CASE WHEN k < n THEN printf('seg-%06d', k + 1) END) AS context
 FROM (SELECT o_orderkey AS page_id, 1 + o_orderkey % 4 AS n, unnest(range(1, 2 + o_orderkey % 4)) AS k FROM orders WHERE o_orderkey % 20 = 2)
-""")
-def w02_neighbours(spark, sf):
+""", share="o_orderkey % 20 = 2")
+def w02_neighbours(spark, sf, share="o_orderkey % 20 = 2"):
     """Ids in order and the neighbours of each segment."""
-    pages = table(spark, sf, "orders").where("o_orderkey % 20 = 2").selectExpr("o_orderkey page_id", f"{_PARAS} html")
+    pages = table(spark, sf, "orders").where(share).selectExpr("o_orderkey page_id", f"{_PARAS} html")
     return S.targets(N.dom_nodes(pages)).select("page_id", "id", F.array_join("context_ids", ",").alias("context"))
 
 
@@ -85,10 +85,10 @@ FROM orders, (VALUES
   ('seg-000003', 'list_item', 'one ⟦WT:000000⟧two⟦WT:000001⟧', 'tag,tag'),
   ('seg-000004', 'located:attributes', '⟦WT:000000⟧pic #⟦WT:000001⟧t', 'location,location')) v(id, semantic_type, text, kinds)
 WHERE o_orderkey % 20 = 3
-""")
-def r02_segments(spark, sf):
+""", share="o_orderkey % 20 = 3")
+def r02_segments(spark, sf, share="o_orderkey % 20 = 3"):
     """The main extraction: types, protected texts and kinds of tokens."""
-    pages = table(spark, sf, "orders").where("o_orderkey % 20 = 3").selectExpr("o_orderkey page_id", "'https://e.com/' url", f"{_PAGE} html")
+    pages = table(spark, sf, "orders").where(share).selectExpr("o_orderkey page_id", "'https://e.com/' url", f"{_PAGE} html")
     found = extract(pages).segments
     return found.select("page_id", "id", "semantic_type", "source_text", F.array_join(F.transform("protected", lambda t: t["kind"]), ",").alias("kinds"))
 
@@ -115,10 +115,10 @@ def r10_dense_ids(spark, sf):
 
 @query("""
 SELECT o_orderkey AS page_id, n::INTEGER AS check_ord FROM orders, (VALUES (1), (2), (3)) v(n) WHERE o_orderkey % 20 = 4 AND o_orderkey % 3 = n - 1
-""")
-def p09_reserved_spellings(spark, sf):
+""", share="o_orderkey % 20 = 4")
+def p09_reserved_spellings(spark, sf, share="o_orderkey % 20 = 4"):
     html = "case o_orderkey % 3 when 0 then '<style>[data-wt-segment]{}</style>' when 1 then '<p data-wt-segment=\"x\">y</p>' else '<p><!--wt-location:content-->y</p>' end"
-    pages = table(spark, sf, "orders").where("o_orderkey % 20 = 4").selectExpr("o_orderkey page_id", f"{html} html")
+    pages = table(spark, sf, "orders").where(share).selectExpr("o_orderkey page_id", f"{html} html")
     return S.contract_errors(pages, N.dom_nodes(pages)).select("page_id", "check_ord")
 
 
@@ -201,19 +201,19 @@ _NEST = "'<article><p>a' || o_orderkey || '</p><div><p>b</p></div></article>'"
 SELECT o_orderkey AS page_id, tag, depth::INTEGER AS depth, above FROM orders,
  (VALUES ('html', 1, ''), ('head', 2, 'html'), ('body', 2, 'html'), ('article', 3, 'body/html'), ('p', 4, 'article/body/html'), ('div', 4, 'article/body/html'), ('p', 5, 'div/article/body/html')) v(tag, depth, above)
 WHERE o_orderkey % 20 = 5
-""")
-def j09_ancestors(spark, sf):
+""", share="o_orderkey % 20 = 5")
+def j09_ancestors(spark, sf, share="o_orderkey % 20 = 5"):
     """The elements above each element, nearest first."""
-    pages = table(spark, sf, "orders").where("o_orderkey % 20 = 5").selectExpr("o_orderkey page_id", f"{_NEST} html")
+    pages = table(spark, sf, "orders").where(share).selectExpr("o_orderkey page_id", f"{_NEST} html")
     rows = N.elements(N.dom_nodes(pages))
     return rows.select("page_id", "tag", "depth", F.array_join(F.transform(F.slice("ancestors", 2, 100), lambda a: a["tag"]), "/").alias("above"))
 
 
 @query("""
 SELECT o_orderkey AS page_id, n::BIGINT AS n FROM orders, (VALUES (2)) v(n) WHERE o_orderkey % 20 = 6
-""")
-def p04_excluded(spark, sf):
+""", share="o_orderkey % 20 = 6")
+def p04_excluded(spark, sf, share="o_orderkey % 20 = 6"):
     """Scripts, code and what says translate="no" own no text."""
     html = "'<p>yes</p><pre>no</pre><div translate=\" NO \"><p>no</p></div><script>no</script><p>yes<code>no</code></p>'"
-    pages = table(spark, sf, "orders").where("o_orderkey % 20 = 6").selectExpr("o_orderkey page_id", f"{html} html")
+    pages = table(spark, sf, "orders").where(share).selectExpr("o_orderkey page_id", f"{html} html")
     return S.text_owners(N.dom_nodes(pages)).groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))

@@ -76,10 +76,10 @@ _REFS = "'<link rel=\"stylesheet\" href=\"/s.css\"><link rel=\"icon\" href=\"i.i
 SELECT o_orderkey AS page_id, v.ord::INTEGER AS ord, v.kind, v.critical, replace(v.url, '#', o_orderkey::VARCHAR) AS url FROM orders,
  (VALUES (1, 'stylesheet', TRUE, 'https://e.com/s.css'), (2, 'image', FALSE, 'https://e.com/d/i.ico'), (3, 'image', FALSE, 'https://e.com/d/p#.png'), (4, 'image', FALSE, 'https://e.com/d/a.png'), (5, 'image', FALSE, 'https://e.com/d/b.png')) v(ord, kind, critical, url)
 WHERE o_orderkey % 20 = 7
-""")
-def r22_page_references(spark, sf):
+""", share="o_orderkey % 20 = 7")
+def r22_page_references(spark, sf, share="o_orderkey % 20 = 7"):
     """What a page loads, in order, as whole addresses."""
-    pages = table(spark, sf, "orders").where("o_orderkey % 20 = 7").selectExpr("o_orderkey page_id", "'https://e.com/d/p' url", f"{_REFS} html")
+    pages = table(spark, sf, "orders").where(share).selectExpr("o_orderkey page_id", "'https://e.com/d/p' url", f"{_REFS} html")
     nodes = dom_nodes(pages)
     return P.resolved_refs(P.page_refs(nodes), P.base_urls(pages, nodes)).select("page_id", "ord", "kind", "critical", "url")
 
@@ -96,10 +96,10 @@ def a10_budgets(spark, sf):
     return P.budget_errors(once).select("page_id", F.col("ord").cast("bigint").alias("ord"), "error")
 
 
-@query("""SELECT o_orderkey AS page_id, CASE o_orderkey % 5 WHEN 1 THEN 'unsupported authentication page' WHEN 2 THEN 'unsupported CAPTCHA page' WHEN 3 THEN 'unsupported JavaScript-only page' ELSE 'unsupported interstitial page' END AS error FROM orders WHERE o_orderkey % 20 < 5 AND o_orderkey % 5 <> 0""")
-def p03_unsupported_pages(spark, sf):
+@query("""SELECT o_orderkey AS page_id, CASE o_orderkey % 5 WHEN 1 THEN 'unsupported authentication page' WHEN 2 THEN 'unsupported CAPTCHA page' WHEN 3 THEN 'unsupported JavaScript-only page' ELSE 'unsupported interstitial page' END AS error FROM orders WHERE o_orderkey % 20 < 5 AND o_orderkey % 5 <> 0""", share="o_orderkey % 20 < 5")
+def p03_unsupported_pages(spark, sf, share="o_orderkey % 20 < 5"):
     html = "case o_orderkey % 5 when 0 then '<p>how to log in and solve a captchas</p>' when 1 then '<form action=\"/login\"><input></form>' when 2 then '<div class=\"g-recaptcha\"></div>' when 3 then '<div id=\"root\"></div><script>x</script>' else '<title>Just a moment...</title><p>Checking your browser</p>' end"
-    pages = table(spark, sf, "orders").where("o_orderkey % 20 < 5").selectExpr("o_orderkey page_id", f"{html} html")
+    pages = table(spark, sf, "orders").where(share).selectExpr("o_orderkey page_id", f"{html} html")
     return P.unsupported_pages(pages, dom_nodes(pages)).select("page_id", "error")
 
 
