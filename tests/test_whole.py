@@ -17,3 +17,18 @@ def test_every_order_is_built(spark, name):
 
 def test_every_share_has_its_whole():
     assert {n for n in SQL if f"{n}_whole" in SQL} >= {*EVERY_ORDER, "v14_structure", "v08_token_integrity", "p03_unsupported_pages"}
+
+
+ZONED = ("w03_sections", "w04_atomic_units", "w05_greedy_pack", "w09_zones", "w10_context", "v05_oversized_units", "j01_zone_targets", "a10_budgets")
+
+
+def test_every_line_is_zoned(spark):
+    assert all(f"{n}_whole" in SQL for n in ZONED)
+    lines = queries.table(spark, SF, "lineitem")
+    targets = lines.where("l_suppkey % 5 <> 0").count()
+    assert targets > lines.dropDuplicates(["l_orderkey", "l_linenumber"]).where("l_suppkey % 5 <> 0").count()
+    assert QUERIES["w03_sections_whole"](spark, SF).count() == targets
+    assert QUERIES["j01_zone_targets_whole"](spark, SF).count() == targets
+    balanced = QUERIES["w06_balanced_zones"](spark, SF).selectExpr("explode(split(targets, ',')) t")
+    assert balanced.count() == targets
+    assert QUERIES["a04_partition_errors"](spark, SF).count() == 0
