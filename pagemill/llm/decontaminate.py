@@ -67,7 +67,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     if total <= broadcast_tokens:
         # the text's tokens stay in the row: hits are verified where they are found, only results are shuffled
         hits = seeds(rows, "p").join(F.broadcast(known.select("item", "q", "seed")), "seed")
-        hits = hits.withColumn("diagonal", F.col("p") - F.col("q")).join(F.broadcast(items.select("item", F.col("h").alias("b"))), "item")
+        hits = hits.withColumn("diagonal", F.col("p") - F.col("q")).join(F.broadcast(items.select(F.col("item").alias("i"), F.col("h").alias("b"))), F.col("item").eqNullSafe(F.col("i"))).drop("i")
     else:
         found = seeds(rows, "p").select("id", "p", "seed").join(known.select("item", "q", "seed"), "seed")
         found = found.select("id", "item", (F.col("p") - F.col("q")).alias("diagonal")).distinct()

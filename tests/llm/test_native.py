@@ -66,6 +66,18 @@ def test_overlaps(spark, broadcast):
     assert decontaminate.overlaps(df, bench.limit(0), broadcast_tokens=broadcast).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [decontaminate.BROADCAST_TOKENS, 0])
+def test_items_without_id(spark, broadcast):
+    words = [f"w{i}" for i in range(60)]
+    items = [(None, " ".join(words[:20])), (None, " ".join(words[20:30])), (1, " ".join(words[30:45]))]
+    docs = [(1, "x " + items[0][1]), (2, items[1][1] + " y"), (3, items[2][1]), (4, "x y z " * 9), (None, items[1][1])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.matched for r in decontaminate.overlaps(df, bench, broadcast_tokens=broadcast).collect()}
+    assert got == {(1, None): 20, (2, None): 10, (3, 1): 15, (None, None): 10} == brute_overlaps(docs, items)
+    assert [r.doc_id for r in decontaminate.keep_clean(df, bench).collect()] == [4]
+
+
 def _docs(spark, seed=1):
     rnd = random.Random(seed)
     rows = [(i, "w " * rnd.randint(1, 30), rnd.choice("aaaaaaab") if i % 9 else "c") for i in range(300)]
