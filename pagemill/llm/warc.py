@@ -31,11 +31,13 @@ from pagemill.llm.scratch import Scratch
 
 ROLL = 32 << 20
 CHUNK = 1 << 18
-#: A header longer than this is damaged.
-MOST_HEADER = 1 << 16
+#: What is read of a plain record in search of its header's end; doubled until that is found.
+HEADER_READ = 1 << 16
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _URN = "urn:page:"
+#: Fields whose values may end like a version line.
+_FREE = {"warc-target-uri", "warc-refers-to-target-uri", "warc-filename"}
 
 
 class Record(NamedTuple):
@@ -145,7 +147,7 @@ def _fields(lines: list[bytes], once: bool = False) -> dict[str, str]:
         if not colon or not name.strip():
             raise Damaged("header line")
         key = name.strip().decode("utf-8", "replace").lower()
-        if once and (line.endswith((b"WARC/1.0", b"WARC/1.1")) or key in found and key != "warc-concurrent-to"):
+        if once and (key not in _FREE and line.endswith((b"WARC/1.0", b"WARC/1.1")) or key in found and key != "warc-concurrent-to"):
             raise Damaged("header run together with another")
         found.setdefault(key, value.strip().decode("utf-8", "replace"))
     return found
@@ -182,10 +184,12 @@ def _header(data: bytes) -> tuple[dict[str, str], int, int]:
     """Fields, where the block starts and its length."""
     if not _VERSION.match(data):
         raise Damaged("version line")
-    end = data.find(b"\r\n\r\n", 0, MOST_HEADER)
+    end = data.find(b"\r\n\r\n")
     if end < 0:
         raise Damaged("header")
     headers = _fields(data[:end].split(b"\r\n")[1:], once=True)
+    if "warc-type" not in headers or "warc-record-id" not in headers:  # the rest of a header after a value that ends like a version line
+        raise Damaged("mandatory field")
     length = headers.get("content-length", "")
     if not re.fullmatch("[0-9]{1,15}", length):
         raise Damaged("Content-Length")
@@ -193,7 +197,12 @@ def _header(data: bytes) -> tuple[dict[str, str], int, int]:
 
 
 def _plain(source: Bytes, at: int) -> Record:
-    headers, start, length = _header(source.read(at, MOST_HEADER))
+    data, wide = source.read(at, HEADER_READ), HEADER_READ
+    while _VERSION.match(data) and b"\r\n\r\n" not in data and at + len(data) < source.size:
+        _fields(data.split(b"\r\n")[1:-1], once=True)  # damage shows before all of the file is read
+        wide *= 2
+        data = source.read(at, wide)
+    headers, start, length = _header(data)
     if at + start + length + 4 > source.size:
         raise Damaged("truncated record")
     block = source.read(at + start, length + 4)
@@ -307,9 +316,13 @@ def page_number(urn):
 
 
 def round_trip(pages: DataFrame, least: int = 100) -> DataFrame:
-    """Writes all pages and reads the archives back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """Writes all pages and reads the archives back: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    A gap is an error: every page written must come back.
+    """
     scratch = Scratch(pages.sparkSession, "warc")
     manifest = write(pages, scratch, least)
     scratch.settle()
-    found = read(manifest, payloads=False).where("gap is null")
+    sound = F.when(F.col("gap").isNull(), True).otherwise(F.raise_error(F.concat(F.lit("gap in an archive just written: "), "gap", F.lit(" in "), "uri")).cast("boolean"))
+    found = read(manifest, payloads=False).where(sound)
     return found.select(page_number(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.when(F.col("record_type") == "revisit", page_number(F.col("refers_to"))).alias("refers_to"))

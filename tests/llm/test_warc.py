@@ -63,3 +63,33 @@ def test_gaps_are_logged(spark, tmp_path):
     rows = warc.read(spark.createDataFrame([(str(tmp_path / "a.warc.gz"),)], "uri string")).orderBy("offset").collect()
     assert [r.gap is None for r in rows] == [True, False, True] and rows[1].length == len(good[1]) - 9
     assert bytes(rows[2].payload) == b"p"
+
+
+LONG = "http://a/" + " " * 30_000 + "x" * 200_000
+
+
+@pytest.mark.parametrize("url", [LONG, "http://a/WARC/1.1", "WARC/1.0"])
+@pytest.mark.parametrize("pack", [bytes, warc.member])
+@pytest.mark.parametrize("read", [64, 1 << 16])
+def test_any_url_is_read_back(monkeypatch, url, pack, read):
+    monkeypatch.setattr(warc, "HEADER_READ", read)
+    digest = hashlib.sha256(b"p").hexdigest()
+    data = [pack(warc.record_bytes(i, url, b"p" if i else None, digest, 1, None if i else 1, "d")) for i in range(3)]
+    found = list(warc.records(warc.Bytes(Held(b"".join(data)))))
+    assert [x.headers["warc-target-uri"] for x in found] == [url.replace(" ", "%20")] * 3
+    # without its first byte a record is a gap, whatever its url ends like
+    found = list(warc.records(warc.Bytes(Held(data[0][1:] + data[1]))))
+    assert [type(x) for x in found] == [warc.Gap, warc.Record] and found[1].headers["warc-record-id"] == "<urn:page:1>"
+
+
+def test_round_trip_of_any_url(spark):
+    big = "x" * 150
+    rows = [(1, LONG, big), (2, "http://b/WARC/1.1", big), (3, "http://c/WARC/1.0", "short")]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in got) == [(1, "response", None), (2, "revisit", 1), (3, "response", None)]
+
+
+def test_round_trip_fails_on_a_gap(spark, monkeypatch):
+    monkeypatch.setattr(warc, "member", lambda data: data[:-9])
+    with pytest.raises(Exception, match="gap in an archive"):
+        warc.round_trip(spark.createDataFrame([(1, "u", "p")], "page_id long, url string, html string")).collect()
