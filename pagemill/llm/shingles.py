@@ -1,0 +1,120 @@
+"""Near-duplicates by the Jaccard similarity of word shingles: MinHash candidates, each checked exactly.
+
+A text is the set of the XXH64 of its ``size``-word shingles, ASCII-lower-cased.  ``BANDS`` keys of ``ROWS`` minima
+each make the candidates: two sets of similarity 0.8 share no key with a chance of 7 in a million.  Sets under a key
+are compared pair by pair up to ``PAIRS`` of them, beyond that with the least and the greatest of the key, which
+keeps a group's links linear.  A link counts if the exact similarity of the two sets reaches ``least``.
+
+Defined cases: a text under ``size`` words is one shingle; null and word-less texts are equal; equal sets are one;
+null ids come last; of repeated rows one stays; an empty table gives an empty table; other columns are never read.
+"""
+
+from __future__ import annotations
+
+from functools import lru_cache
+from itertools import accumulate
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import arrow_udf
+
+from pagemill.llm.components import roots
+from pagemill.llm.scratch import Scratch
+from pagemill.llm.words import word_lists
+
+BANDS, ROWS = 30, 5
+#: Keys of up to so many sets are compared pair by pair.
+PAIRS = 8
+_FACTORS = np.random.default_rng(42).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_set(text: bytes, size: int = 5) -> np.ndarray:
+    """The sorted hashes of a text's shingles."""
+    digest, carry, out = xxhash.xxh64_digest, [], []
+    for words in word_lists(text.lower()):
+        words = carry + words
+        if len(words) >= size:
+            line = b" ".join(words)
+            ends = list(accumulate(len(w) + 1 for w in words))
+            starts = [0, *ends[:-1]]
+            hashes = b"".join([digest(line[s : e - 1]) for s, e in zip(starts, ends[size - 1 :], strict=False)])
+            out.append(np.unique(np.frombuffer(hashes, dtype=np.uint64)))
+            words = words[len(words) - size + 1 :]
+        carry = words
+    if not out and carry:
+        out.append(np.frombuffer(digest(b" ".join(carry)), dtype=np.uint64))
+    return np.unique(np.concatenate(out)) if out else np.empty(0, dtype=np.uint64)
+
+
+def band_keys(own: np.ndarray) -> np.ndarray:
+    least = np.array([(own * f).min() for f in _FACTORS]) if own.size else np.zeros(BANDS * ROWS, dtype=np.uint64)
+    rows = least.reshape(BANDS, ROWS)
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(rows)], dtype=np.uint64)
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    common = np.intersect1d(a, b, assume_unique=True).size
+    return common / (a.size + b.size - common) if a.size or b.size else 1.0
+
+
+def sketch_column(text, size: int = 5):
+    """``struct<fp, n, keys>``: a digest of the shingle set, its size, its band keys."""
+
+    @arrow_udf("fp bigint, n bigint, keys array<bigint>")
+    def of(texts: pa.Array) -> pa.Array:
+        sets = [shingle_set(t.as_buffer().to_pybytes() if t.is_valid else b"", size) for t in texts]
+        fps = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
+        keys = np.concatenate([band_keys(s) for s in sets] or [np.empty(0, dtype=np.uint64)]).view(np.int64)
+        ends = pa.array(np.arange(0, len(keys) + 1, BANDS), pa.int32())
+        return pa.StructArray.from_arrays([pa.array(fps), pa.array([s.size for s in sets], pa.int64()), pa.ListArray.from_arrays(ends, pa.array(keys))], ["fp", "n", "keys"])
+
+    return of(text)
+
+
+def similar_column(a, b, size: int, least: float):
+    @arrow_udf("boolean")
+    def of(left: pa.Array, right: pa.Array) -> pa.Array:
+        held = lru_cache(256)(lambda t: shingle_set(t, size))
+        pairs = zip(left, right, strict=True)
+        return pa.array([similarity(*(held(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in pair)) >= least for pair in pairs], pa.bool_())
+
+    return of(a, b)
+
+
+def candidates(nodes: DataFrame, scratch: Scratch, least: float) -> DataFrame:
+    """``nodes(fp, n, keys)`` to ``(a, b)``: pairs that share a key and whose sizes allow the similarity."""
+    rows = nodes.select(F.explode("keys").alias("key"), "fp", "n")
+    found = scratch.write("keys", rows.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("fp", "n")).alias("lo"), F.max(F.struct("fp", "n")).alias("hi")).where("c > 1"))
+    own = F.struct("fp", "n")
+    many = rows.join(found.where(F.col("c") > PAIRS), "key").select(F.explode(F.array(F.struct(F.col("lo").alias("x"), own.alias("y")), F.struct(own.alias("x"), F.col("hi").alias("y")))).alias("p"))
+    few = rows.join(found.where(F.col("c") <= PAIRS).select("key"), "key").groupBy("key").agg(F.sort_array(F.collect_list(own)).alias("s"))
+    few = few.select(F.explode(F.expr("flatten(transform(s, (x, i) -> transform(slice(s, i + 2, size(s)), y -> struct(x, y))))")).alias("p"))
+    pairs = many.select("p.x", "p.y").union(few.select("p.x", "p.y")).where("x.fp <> y.fp")
+    fits = F.least("x.n", "y.n") >= F.lit(least) * F.greatest("x.n", "y.n") - F.lit(1e-6)
+    return pairs.where(fits).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8) -> DataFrame:
+    """The documents with one of each group of similar ones left: that with the smallest id (nulls last)."""
+    scratch = Scratch(docs.sparkSession, "shingles")
+    mark = F.xxhash64(F.col(text_col), F.col(text_col).isNull())
+    texts = docs.select(F.col(id_col).alias("id"), mark.alias("mark"), F.col(text_col).alias("text"))
+    marked = texts.select("id", "mark", sketch_column(F.col("text"), size).alias("s")).select("id", "mark", "s.*")
+    rep = F.struct(F.col("id").isNull().alias("none"), "id", "mark")
+    nodes = scratch.write("nodes", marked.groupBy("fp").agg(F.min(rep).alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    pairs = scratch.write("pairs", candidates(nodes, scratch, least))
+    used = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    reps = nodes.join(used, "fp").select("fp", F.col("rep.id").alias("i"), F.col("rep.mark").alias("m"))
+    said = texts.join(reps, (F.col("mark") == F.col("m")) & F.col("id").eqNullSafe(F.col("i"))).dropDuplicates(["fp"]).select("fp", "text")
+    said = scratch.write("texts", said)
+    both = pairs.join(said.toDF("a", "left"), "a").join(said.toDF("b", "right"), "b")
+    links = both.where(similar_column(F.col("left"), F.col("right"), size, least)).select("a", "b")
+    rooted = nodes.join(roots(links, scratch).toDF("fp", "root"), "fp", "left").select("rep", F.coalesce("root", "fp").alias("root"))
+    stays = rooted.groupBy("root").agg(F.min("rep").alias("rep")).select(F.col("rep.id").alias("__id"), F.col("rep.mark").alias("__m")).checkpoint()
+    scratch.drop()
+    tagged = docs.withColumn("__mark", mark)
+    kept = tagged.join(stays, (F.col("__mark") == F.col("__m")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+    return kept.dropDuplicates([id_col, "__mark"]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -1,0 +1,57 @@
+import random
+
+import corpus_pipeline
+from pagemill.llm import shingles
+
+
+def brute_kept(rows, size=5, least=0.8):
+    """One id a group, with no limit on what is compared."""
+    sets = []
+    for _, text in rows:
+        words = (text or "").lower().split()
+        sets.append({tuple(words[i : i + size]) for i in range(len(words) - size + 1)} if len(words) >= size else {tuple(words)} - {()})
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or len(a & b) >= least * len(a | b):
+                root[find(i)] = find(j)
+    groups = {}
+    for i, (d, _) in enumerate(rows):
+        groups.setdefault(find(i), []).append(d)
+    return sorted((min(g, key=lambda d: (d is None, d or 0)) for g in groups.values()), key=str)
+
+
+def sample():
+    rnd = random.Random(3)
+    words = [f"w{i}" for i in range(500)]
+    rows = []
+    for i in range(240):
+        text = rnd.choices(words, k=300)
+        if i >= 60 and rnd.random() < 0.8:
+            text = list(rows[rnd.randrange(60)][1].split(" "))
+            for _ in range(rnd.randint(1, 9)):
+                text[rnd.randrange(300)] = rnd.choice(words)
+        rows.append((i, " ".join(text)))
+    return rows
+
+
+def test_pipeline_against_brute_force(spark):
+    rows = [*sample(), (1000, None), (1001, ""), (1002, " \n"), (1003, "Ab C"), (1004, "aB c"), (None, "ab c"), (2000, "again"), (2000, "again"), (None, "lone"), (None, "lone")]
+    df = spark.createDataFrame([(d, t, 0, "x") for d, t in rows], "doc_id long, text string, fp int, n string")
+    kept = corpus_pipeline.near_duplicates(spark, df, "")
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == brute_kept(rows)
+    assert shingles.keep_one(df.limit(0)).count() == 0
+
+
+def test_a_large_group_keeps_its_links_linear(spark):
+    base = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join([*base[: i % 295], f"own{i}", *base[i % 295 + 1 :]])) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r.doc_id for r in shingles.keep_one(df).collect()] == [0]
