@@ -210,6 +210,10 @@ def visible_text(node: Node) -> str:
     return " ".join(t for n in node.walk() if n.tag is None and (n.parent is None or n.parent.tag not in _RAW) and (t := n.text.strip()))
 
 
+def is_heading(tag: str) -> bool:
+    return len(tag) == 2 and tag[0] == "h" and tag[1] in "123456"
+
+
 def candidate(node: Node) -> bool:
     """Neither the element nor one above it is excluded from translation."""
     return not any(n.tag in EXCLUDED or n.attrs.get("translate", "").strip().lower() == "no" for n in node.up())

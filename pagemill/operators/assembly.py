@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pagemill.contract import MARKER, AssemblyError
 from pagemill.functions.build import assemble
-from pagemill.operators.nodes import elements
+from pagemill.operators.nodes import elements, spread
 from pagemill.operators.terminology import normalize_first_use
 
 RESULT = "page_id bigint, html string, error string"
@@ -35,7 +35,7 @@ def assemble_pages(marked: DataFrame, segments: DataFrame, translations: DataFra
     texts = normalize_first_use(translations, glossary, segments).select("page_id", F.col("segment_id").alias("id"), "text")
     rows = segments.join(texts, ["page_id", "id"]).groupBy("page_id").agg(F.collect_list(F.struct("seg_ord", "id", "semantic_type", "protected", "text")).alias("segments"))
     pages = marked.select("page_id", "html").join(rows, "page_id", "left").join(urls.select("page_id", "url"), "page_id")
-    return pages.select("page_id", "html", "segments", "url").mapInArrow(_assemble, RESULT)
+    return spread(pages.select("page_id", "html", "segments", "url"), urls).mapInArrow(_assemble, RESULT)
 
 
 def segment_errors(segments: DataFrame) -> DataFrame:

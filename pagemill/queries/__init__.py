@@ -14,19 +14,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None, share: str | None = None, instead: str = "TRUE", given: object = "true"):
-    """Registers a query; one whose SQL states a ``share`` of its rows also as ``NAME_whole``, over all of them.
-
-    The whole query gets ``given`` as its third argument; its SQL has ``instead`` in place of the share.
-    """
+def query(sql: str | None = None):
+    """Registers a query over whole tables, with SQL that states its result."""
 
     def add(f):
         QUERIES[f.__name__] = f
         if sql is not None:
             SQL[f.__name__] = sql
-        if share is not None:
-            QUERIES[f"{f.__name__}_whole"] = lambda spark, sf: f(spark, sf, given)
-            SQL[f"{f.__name__}_whole"] = sql.replace(share, instead)
         return f
 
     return add

@@ -117,9 +117,9 @@ def s08_json_lines(spark, sf):
     return R.json_lines(rows, ["id", "lang", "missing"], ["id"])
 
 
-@query("SELECT o_orderkey AS page_id, term, gloss FROM orders, (VALUES ('x', '가'), ('y', '나')) v(term, gloss) WHERE o_orderkey % 4 = 0", share="o_orderkey % 4 = 0")
-def s14_glossary(spark, sf, share="o_orderkey % 4 = 0"):
-    lines = table(spark, sf, "orders").where(share).selectExpr("o_orderkey page_id", """'{"x":"가","y":"나"}' json""")
+@query("SELECT o_orderkey AS page_id, term, gloss FROM orders, (VALUES ('x', '가'), ('y', '나')) v(term, gloss)")
+def s14_glossary(spark, sf):
+    lines = table(spark, sf, "orders").selectExpr("o_orderkey page_id", """'{"x":"가","y":"나"}' json""")
     return R.glossary_rows(lines)
 
 
@@ -157,13 +157,13 @@ def w11_first_use(spark, sf):
 
 
 @query("""
-WITH t AS (SELECT o_orderkey AS page_id, v.* FROM orders, (VALUES (1, 'Spring and Boot'), (2, 'Boot(부트) again')) v(seg_ord, text) WHERE o_orderkey % 10 = 0)
+WITH t AS (SELECT o_orderkey AS page_id, v.* FROM orders, (VALUES (1, 'Spring and Boot'), (2, 'Boot(부트) again')) v(seg_ord, text))
 SELECT page_id, seg_ord::INTEGER AS seg_ord, CASE seg_ord WHEN 1 THEN 'Spring(스프링) and Boot(부트)' ELSE 'Boot again' END AS text FROM t
-""", share="o_orderkey % 10 = 0")
-def w12_glosses(spark, sf, share="o_orderkey % 10 = 0"):
+""")
+def w12_glosses(spark, sf):
     """One gloss per term and page at its first use; glosses that stand elsewhere go."""
-    rows = table(spark, sf, "orders").where(share).selectExpr("o_orderkey page_id", "explode(array(struct(1 n, 'Spring and Boot' t), struct(2 n, 'Boot(부트) again' t))) x").selectExpr("page_id", "x.n seg_ord", "'s' || x.n segment_id", "x.t text")
-    terms = table(spark, sf, "orders").where(share).selectExpr("o_orderkey page_id", "explode(map('Spring', '스프링', 'Boot', '부트')) as (term, gloss)")
+    rows = table(spark, sf, "orders").selectExpr("o_orderkey page_id", "explode(array(struct(1 n, 'Spring and Boot' t), struct(2 n, 'Boot(부트) again' t))) x").selectExpr("page_id", "x.n seg_ord", "'s' || x.n segment_id", "x.t text")
+    terms = table(spark, sf, "orders").selectExpr("o_orderkey page_id", "explode(map('Spring', '스프링', 'Boot', '부트')) as (term, gloss)")
     empty = rows.selectExpr("page_id", "segment_id id", "cast(array() as array<struct<token:string,kind:string,value:string>>) protected")
     return T.normalize_first_use(rows, terms, empty).select("page_id", "seg_ord", "text")
 

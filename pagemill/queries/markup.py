@@ -9,6 +9,7 @@ from pyspark.sql.pandas.functions import arrow_udf
 from pagemill.functions.protect import protect, restore
 from pagemill.operators import nodes as N
 from pagemill.operators import segments as S
+from pagemill.plans.cut import cut
 from pagemill.plans.pages import extract
 from pagemill.queries import query, table
 
@@ -22,7 +23,7 @@ WHERE len(regexp_extract_all(html, '<' || tag || '[ >]')) > 0
 """)
 def r01_element_counts(spark, sf):
     """Elements of each page by tag, from the parsed tree."""
-    own = N.elements(N.dom_nodes(table(spark, sf, "pages"))).where(F.col("tag").isin(*_TAGS))
+    own = N.elements(N.dom_nodes(table(spark, sf, "pages"), "page_id", "kind", "tag")).where(F.col("tag").isin(*_TAGS))
     return own.groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -30,7 +31,7 @@ def r01_element_counts(spark, sf):
 SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages
 """)
 def r01_link_targets(spark, sf):
-    return N.elements(N.dom_nodes(table(spark, sf, "pages"))).where("tag = 'a'").select("page_id", F.col("attrs")["href"].alias("href"))
+    return N.elements(N.dom_nodes(table(spark, sf, "pages"), "page_id", "kind", "tag", "attrs")).where("tag = 'a'").select("page_id", F.col("attrs")["href"].alias("href"))
 
 
 _ROWS = "'<table>' || repeat('<tr><td>cell</td><td translate=\"no\">x</td></tr>', cast(1 + o_orderkey % 3 as int)) || '</table><table translate=\"no\"><tr><td>y</td></tr></table>'"
@@ -38,12 +39,12 @@ _ROWS = "'<table>' || repeat('<tr><td>cell</td><td translate=\"no\">x</td></tr>'
 
 @query(f"""
 SELECT page_id, unnest(range(1, n + 1))::INTEGER AS row
-FROM (SELECT o_orderkey AS page_id, 1 + o_orderkey % 3 AS n, {_ROWS} AS html FROM orders WHERE o_orderkey % 20 = 0)
-""", share="o_orderkey % 20 = 0")
-def r08_table_rows(spark, sf, share="o_orderkey % 20 = 0"):
+FROM (SELECT o_orderkey AS page_id, 1 + o_orderkey % 3 AS n, {_ROWS} AS html FROM orders)
+""")
+def r08_table_rows(spark, sf):
     """Rows of tables numbered in document order; excluded tables have none."""
-    pages = table(spark, sf, "orders").where(share).selectExpr("o_orderkey page_id", f"{_ROWS} html")
-    return S.table_rows(N.dom_nodes(pages)).select("page_id", "row")
+    pages = table(spark, sf, "orders").selectExpr("o_orderkey page_id", f"{_ROWS} html")
+    return S.table_rows(N.dom_nodes(pages, *N.PLAIN)).select("page_id", "row")
 
 
 _HEADS = "'<h1>A' || o_orderkey || '</h1><h3>C</h3><p>one</p><h2>B</h2><p>two</p><h3>D</h3><p>three</p><h1>E</h1><p>four</p>'"
@@ -52,12 +53,11 @@ _HEADS = "'<h1>A' || o_orderkey || '</h1><h3>C</h3><p>one</p><h2>B</h2><p>two</p
 @query("""
 SELECT o_orderkey AS page_id, seg_ord, replace(path, '#', o_orderkey::VARCHAR) AS path
 FROM orders, (VALUES (1, ''), (2, 'A#'), (3, 'A#/C'), (4, 'A#'), (5, 'A#/B'), (6, 'A#/B'), (7, 'A#/B/D'), (8, ''), (9, 'E')) v(seg_ord, path)
-WHERE o_orderkey % 20 = 1
-""", share="o_orderkey % 20 = 1")
-def w01_heading_paths(spark, sf, share="o_orderkey % 20 = 1"):
+""")
+def w01_heading_paths(spark, sf):
     """The headings above each segment: lower ranks end with every heading of their rank or above."""
-    pages = table(spark, sf, "orders").where(share).selectExpr("o_orderkey page_id", f"{_HEADS} html")
-    return S.targets(N.dom_nodes(pages)).select("page_id", "seg_ord", F.array_join("heading_path", "/").alias("path"))
+    pages = table(spark, sf, "orders").selectExpr("o_orderkey page_id", f"{_HEADS} html")
+    return S.targets(cut(N.dom_nodes(pages))).select("page_id", "seg_ord", F.array_join("heading_path", "/").alias("path"))
 
 
 _PARAS = "repeat('<p>word</p>', cast(1 + o_orderkey % 4 as int))"
@@ -66,12 +66,12 @@ _PARAS = "repeat('<p>word</p>', cast(1 + o_orderkey % 4 as int))"
 @query("""
 SELECT page_id, printf('seg-%06d', k) AS id,
        concat_ws(',', CASE WHEN k > 1 THEN printf('seg-%06d', k - 1) END, CASE WHEN k < n THEN printf('seg-%06d', k + 1) END) AS context
-FROM (SELECT o_orderkey AS page_id, 1 + o_orderkey % 4 AS n, unnest(range(1, 2 + o_orderkey % 4)) AS k FROM orders WHERE o_orderkey % 20 = 2)
-""", share="o_orderkey % 20 = 2")
-def w02_neighbours(spark, sf, share="o_orderkey % 20 = 2"):
+FROM (SELECT o_orderkey AS page_id, 1 + o_orderkey % 4 AS n, unnest(range(1, 2 + o_orderkey % 4)) AS k FROM orders)
+""")
+def w02_neighbours(spark, sf):
     """Ids in order and the neighbours of each segment."""
-    pages = table(spark, sf, "orders").where(share).selectExpr("o_orderkey page_id", f"{_PARAS} html")
-    return S.targets(N.dom_nodes(pages)).select("page_id", "id", F.array_join("context_ids", ",").alias("context"))
+    pages = table(spark, sf, "orders").selectExpr("o_orderkey page_id", f"{_PARAS} html")
+    return S.targets(cut(N.dom_nodes(pages))).select("page_id", "id", F.array_join("context_ids", ",").alias("context"))
 
 
 _PAGE = "'<h1>Order ' || o_orderkey || '</h1><p>Clients MUST read <code>x' || o_custkey || '</code> at https://e.com/' || o_orderkey || '.</p><ul><li>one <a href=\"#t\">two</a></li></ul><img alt=\"pic ' || o_orderkey || '\" title=\"t\">'"
@@ -84,11 +84,10 @@ FROM orders, (VALUES
   ('seg-000002', 'paragraph', 'Clients ⟦WT:000000⟧ read ⟦WT:000001⟧ at ⟦WT:000002⟧.', 'keyword,code,url'),
   ('seg-000003', 'list_item', 'one ⟦WT:000000⟧two⟦WT:000001⟧', 'tag,tag'),
   ('seg-000004', 'located:attributes', '⟦WT:000000⟧pic #⟦WT:000001⟧t', 'location,location')) v(id, semantic_type, text, kinds)
-WHERE o_orderkey % 20 = 3
-""", share="o_orderkey % 20 = 3")
-def r02_segments(spark, sf, share="o_orderkey % 20 = 3"):
+""")
+def r02_segments(spark, sf):
     """The main extraction: types, protected texts and kinds of tokens."""
-    pages = table(spark, sf, "orders").where(share).selectExpr("o_orderkey page_id", "'https://e.com/' url", f"{_PAGE} html")
+    pages = table(spark, sf, "orders").selectExpr("o_orderkey page_id", "'https://e.com/' url", f"{_PAGE} html")
     found = extract(pages).segments
     return found.select("page_id", "id", "semantic_type", "source_text", F.array_join(F.transform("protected", lambda t: t["kind"]), ",").alias("kinds"))
 
@@ -98,7 +97,7 @@ SELECT page_id, len(regexp_extract_all(html, '<li[ >]'))::BIGINT AS n FROM pages
 """)
 def r07_list_items(spark, sf):
     """Every list item of a page is a segment of its own."""
-    found = S.targets(N.dom_nodes(table(spark, sf, "pages"))).where("semantic_type = 'list_item'")
+    found = S.targets(cut(N.dom_nodes(table(spark, sf, "pages")))).where("semantic_type = 'list_item'")
     return found.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -107,19 +106,19 @@ def r10_dense_ids(spark, sf):
     """Marked pages carry just the segments' ids, in order, and extraction is done for them."""
     pages = table(spark, sf, "pages")
     done = extract(pages)
-    marked = N.dom_nodes(done.marked.select("page_id", "html"))
+    marked = N.dom_nodes(done.marked.select("page_id", "html"), *N.PLAIN)
     before = S.extracted_before(marked, done.segments).withColumn("dense", F.lit(True))
     errors = S.check_restorable(done.segments).groupBy("page_id").agg(F.count(F.lit(1)).alias("left_over"))
     return pages.select("page_id").join(errors, "page_id", "left").join(before, "page_id", "left").select("page_id", F.coalesce("left_over", F.lit(0)).cast("bigint").alias("left_over"), F.coalesce("dense", F.lit(False)).alias("dense"))
 
 
 @query("""
-SELECT o_orderkey AS page_id, n::INTEGER AS check_ord FROM orders, (VALUES (1), (2), (3)) v(n) WHERE o_orderkey % 20 = 4 AND o_orderkey % 3 = n - 1
-""", share="o_orderkey % 20 = 4")
-def p09_reserved_spellings(spark, sf, share="o_orderkey % 20 = 4"):
+SELECT o_orderkey AS page_id, n::INTEGER AS check_ord FROM orders, (VALUES (1), (2), (3)) v(n) WHERE o_orderkey % 3 = n - 1
+""")
+def p09_reserved_spellings(spark, sf):
     html = "case o_orderkey % 3 when 0 then '<style>[data-wt-segment]{}</style>' when 1 then '<p data-wt-segment=\"x\">y</p>' else '<p><!--wt-location:content-->y</p>' end"
-    pages = table(spark, sf, "orders").where(share).selectExpr("o_orderkey page_id", f"{html} html")
-    return S.contract_errors(pages, N.dom_nodes(pages)).select("page_id", "check_ord")
+    pages = table(spark, sf, "orders").selectExpr("o_orderkey page_id", f"{html} html")
+    return S.contract_errors(pages, cut(N.dom_nodes(pages))).select("page_id", "check_ord")
 
 
 def _protected(texts: pa.Array) -> pa.Array:
@@ -200,20 +199,19 @@ _NEST = "'<article><p>a' || o_orderkey || '</p><div><p>b</p></div></article>'"
 @query("""
 SELECT o_orderkey AS page_id, tag, depth::INTEGER AS depth, above FROM orders,
  (VALUES ('html', 1, ''), ('head', 2, 'html'), ('body', 2, 'html'), ('article', 3, 'body/html'), ('p', 4, 'article/body/html'), ('div', 4, 'article/body/html'), ('p', 5, 'div/article/body/html')) v(tag, depth, above)
-WHERE o_orderkey % 20 = 5
-""", share="o_orderkey % 20 = 5")
-def j09_ancestors(spark, sf, share="o_orderkey % 20 = 5"):
+""")
+def j09_ancestors(spark, sf):
     """The elements above each element, nearest first."""
-    pages = table(spark, sf, "orders").where(share).selectExpr("o_orderkey page_id", f"{_NEST} html")
-    rows = N.elements(N.dom_nodes(pages))
-    return rows.select("page_id", "tag", "depth", F.array_join(F.transform(F.slice("ancestors", 2, 100), lambda a: a["tag"]), "/").alias("above"))
+    pages = table(spark, sf, "orders").selectExpr("o_orderkey page_id", f"{_NEST} html")
+    rows = N.elements(N.dom_nodes(pages, *N.PLAIN))
+    return rows.select("page_id", "tag", "depth", F.array_join(F.transform(F.slice("ancestors", F.lit(2), F.size("ancestors")), lambda a: a["tag"]), "/").alias("above"))
 
 
 @query("""
-SELECT o_orderkey AS page_id, n::BIGINT AS n FROM orders, (VALUES (2)) v(n) WHERE o_orderkey % 20 = 6
-""", share="o_orderkey % 20 = 6")
-def p04_excluded(spark, sf, share="o_orderkey % 20 = 6"):
+SELECT o_orderkey AS page_id, n::BIGINT AS n FROM orders, (VALUES (2)) v(n)
+""")
+def p04_excluded(spark, sf):
     """Scripts, code and what says translate="no" own no text."""
     html = "'<p>yes</p><pre>no</pre><div translate=\" NO \"><p>no</p></div><script>no</script><p>yes<code>no</code></p>'"
-    pages = table(spark, sf, "orders").where(share).selectExpr("o_orderkey page_id", f"{html} html")
-    return S.text_owners(N.dom_nodes(pages)).groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
+    pages = table(spark, sf, "orders").selectExpr("o_orderkey page_id", f"{html} html")
+    return S.text_owners(N.dom_nodes(pages, "page_id", "pre", "kind", "ancestors", "words")).groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))

@@ -12,7 +12,8 @@ from pagemill.functions.build import executable_url
 from pagemill.operators import capture as P
 from pagemill.operators import qa as Q
 from pagemill.operators import report as R
-from pagemill.operators.nodes import dom_nodes
+from pagemill.operators.nodes import PLAIN, dom_nodes
+from pagemill.plans.cut import cut
 from pagemill.queries import query, table
 
 # Addresses by kind, and whether they are public.
@@ -76,46 +77,35 @@ _REFS = "'<link rel=\"stylesheet\" href=\"/s.css\"><link rel=\"icon\" href=\"i.i
 @query("""
 SELECT o_orderkey AS page_id, v.ord::INTEGER AS ord, v.kind, v.critical, replace(v.url, '#', o_orderkey::VARCHAR) AS url FROM orders,
  (VALUES (1, 'stylesheet', TRUE, 'https://e.com/s.css'), (2, 'image', FALSE, 'https://e.com/d/i.ico'), (3, 'image', FALSE, 'https://e.com/d/p#.png'), (4, 'image', FALSE, 'https://e.com/d/a.png'), (5, 'image', FALSE, 'https://e.com/d/b.png')) v(ord, kind, critical, url)
-WHERE o_orderkey % 20 = 7
-""", share="o_orderkey % 20 = 7")
-def r22_page_references(spark, sf, share="o_orderkey % 20 = 7"):
+""")
+def r22_page_references(spark, sf):
     """What a page loads, in order, as whole addresses."""
-    pages = table(spark, sf, "orders").where(share).selectExpr("o_orderkey page_id", "'https://e.com/d/p' url", f"{_REFS} html")
-    nodes = dom_nodes(pages)
+    pages = table(spark, sf, "orders").selectExpr("o_orderkey page_id", "'https://e.com/d/p' url", f"{_REFS} html")
+    nodes = cut(dom_nodes(pages, *PLAIN))
     return P.resolved_refs(P.page_refs(nodes), P.base_urls(pages, nodes)).select("page_id", "ord", "kind", "critical", "url")
 
 
-#: What of the SQL drops repeated keys, and what keeps every row instead.
-_LINES_ONCE = "l_linenumber AS ord, l_partkey % 50 AS url, l_quantity::BIGINT * 4000000 AS bytes FROM lineitem QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber) = 1"
-_LINES_NUMBERED = "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity::BIGINT, l_partkey % 50) AS ord, l_partkey % 50 AS url, l_quantity::BIGINT * 4000000 AS bytes FROM lineitem"
-
-
-def _fetches_once(rows):
-    """The fetches whose key occurs once."""
-    return rows.groupBy("page_id", "ord").agg(F.count(F.lit(1)).alias("c"), F.min("url").alias("url"), F.min("hops").alias("hops"), F.min("bytes").alias("bytes")).where("c = 1")
-
-
-def _fetches_numbered(rows):
+def _numbered(rows):
     """Every fetch, numbered anew within its page; rows that tie are equal in all columns read."""
     return rows.withColumn("ord", F.row_number().over(Window.partitionBy("page_id").orderBy("ord", "bytes", F.col("url").cast("bigint"))))
 
 
 @query("""
-WITH r AS (SELECT l_orderkey AS page_id, l_linenumber AS ord, l_partkey % 50 AS url, l_quantity::BIGINT * 4000000 AS bytes FROM lineitem QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber) = 1),
+WITH r AS (SELECT l_orderkey AS page_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity::BIGINT, l_partkey % 50) AS ord, l_partkey % 50 AS url, l_quantity::BIGINT * 4000000 AS bytes FROM lineitem),
      s AS (SELECT *, sum(bytes) OVER (PARTITION BY page_id ORDER BY ord) AS total FROM r)
 SELECT page_id, min(ord)::BIGINT AS ord, 'resource budget exceeded: downloaded bytes' AS error FROM s WHERE total > 134217728 GROUP BY page_id
-""", share=_LINES_ONCE, instead=_LINES_NUMBERED, given=_fetches_numbered)
-def a10_budgets(spark, sf, fetches=_fetches_once):
+""")
+def a10_budgets(spark, sf):
     """The first fetch of a page that breaks a budget."""
     rows = table(spark, sf, "lineitem").selectExpr("l_orderkey page_id", "l_linenumber ord", "cast(l_partkey % 50 as string) url", "0 hops", "cast(l_quantity as bigint) * 4000000 bytes")
-    return P.budget_errors(fetches(rows)).select("page_id", F.col("ord").cast("bigint").alias("ord"), "error")
+    return P.budget_errors(_numbered(rows)).select("page_id", F.col("ord").cast("bigint").alias("ord"), "error")
 
 
-@query("""SELECT o_orderkey AS page_id, CASE o_orderkey % 5 WHEN 1 THEN 'unsupported authentication page' WHEN 2 THEN 'unsupported CAPTCHA page' WHEN 3 THEN 'unsupported JavaScript-only page' ELSE 'unsupported interstitial page' END AS error FROM orders WHERE o_orderkey % 20 < 5 AND o_orderkey % 5 <> 0""", share="o_orderkey % 20 < 5")
-def p03_unsupported_pages(spark, sf, share="o_orderkey % 20 < 5"):
+@query("""SELECT o_orderkey AS page_id, CASE o_orderkey % 5 WHEN 1 THEN 'unsupported authentication page' WHEN 2 THEN 'unsupported CAPTCHA page' WHEN 3 THEN 'unsupported JavaScript-only page' ELSE 'unsupported interstitial page' END AS error FROM orders WHERE o_orderkey % 5 <> 0""")
+def p03_unsupported_pages(spark, sf):
     html = "case o_orderkey % 5 when 0 then '<p>how to log in and solve a captchas</p>' when 1 then '<form action=\"/login\"><input></form>' when 2 then '<div class=\"g-recaptcha\"></div>' when 3 then '<div id=\"root\"></div><script>x</script>' else '<title>Just a moment...</title><p>Checking your browser</p>' end"
-    pages = table(spark, sf, "orders").where(share).selectExpr("o_orderkey page_id", f"{html} html")
-    return P.unsupported_pages(pages, dom_nodes(pages)).select("page_id", "error")
+    pages = table(spark, sf, "orders").selectExpr("o_orderkey page_id", f"{html} html")
+    return P.unsupported_pages(pages, cut(dom_nodes(pages, *PLAIN))).select("page_id", "error")
 
 
 @query("""SELECT o_orderkey AS id, (o_orderkey % 4) IN (0, 1, 2) AS executable FROM orders""")

@@ -8,17 +8,14 @@ from pyspark.sql import functions as F
 from pagemill.operators import zones as Z
 from pagemill.queries import query, table
 
-#: Segments: a page per order, a segment per line; every fourth line number a heading, some lines in table rows.
+#: Segments: a page per order, a segment per line (numbered anew, as keys repeat); every fourth line number a heading, some lines in table rows.
 _SEG = """l_orderkey page_id, l_linenumber seg_ord, 's' || l_linenumber id,
  case when l_linenumber % 4 = 1 then 'heading' when l_partkey % 3 = 0 then 'table_cell:row:00000' || (l_linenumber % 2) else 'paragraph' end semantic_type,
  repeat('x', cast(1 + l_partkey % 40 as int)) source_text, l_suppkey % 5 <> 0 target"""
 _DUCK = """seg AS (SELECT l_orderkey AS page_id, l_linenumber AS seg_ord, 's' || l_linenumber AS id,
  CASE WHEN l_linenumber % 4 = 1 THEN 'heading' WHEN l_partkey % 3 = 0 THEN 'table_cell:row:00000' || (l_linenumber % 2) ELSE 'paragraph' END AS semantic_type,
  (1 + l_partkey % 40)::INTEGER AS n, l_suppkey % 5 <> 0 AS target
- FROM (SELECT * FROM lineitem QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber) = 1))"""
-#: What of the SQL drops repeated keys, and what keeps every row instead: lines numbered anew within their order.
-_ONCE = "SELECT * FROM lineitem QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber) = 1"
-_NUMBERED = "SELECT * REPLACE (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS l_linenumber) FROM lineitem"
+ FROM (SELECT * REPLACE (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS l_linenumber) FROM lineitem))"""
 _SECT = """h AS (SELECT *, count(*) FILTER (semantic_type = 'heading') OVER (PARTITION BY page_id ORDER BY seg_ord) AS hn FROM seg),
  t AS (SELECT *, dense_rank() OVER (PARTITION BY page_id ORDER BY hn) AS section FROM h WHERE target)"""
 _UNIT = """p AS (SELECT *, row_number() OVER (PARTITION BY page_id, section ORDER BY seg_ord) AS spot, CASE WHEN semantic_type LIKE 'table_cell:row:%' THEN semantic_type END AS key FROM t),
@@ -34,23 +31,14 @@ _PACK = f"""s AS (SELECT *, sum(n) OVER (PARTITION BY page_id, section) AS whole
        FROM z JOIN o ON o.page_id = z.page_id AND o.item = z.item + 1)"""
 
 
-def _once(rows):
-    """The lines whose key occurs once."""
-    return rows.groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("c"), F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey")).where("c = 1")
-
-
 def _numbered(rows):
     """Every line, with a number of its own within its order; rows that tie are equal in all columns read."""
     return rows.withColumn("l_linenumber", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")))
 
 
-#: For ``query``: the same over every line, as ``NAME_whole``.
-_WHOLE = {"share": _ONCE, "instead": _NUMBERED, "given": _numbered}
-
-
-def _segments(spark, sf, lines):
+def _segments(spark, sf):
     token = "array(named_struct('token', '⟦WT:000000⟧', 'kind', 'url', 'value', id)) protected"
-    return lines(table(spark, sf, "lineitem")).selectExpr(*[x.strip() for x in _split(_SEG)]).selectExpr("*", "array('h') heading_path", token)
+    return _numbered(table(spark, sf, "lineitem")).selectExpr(*[x.strip() for x in _split(_SEG)]).selectExpr("*", "array('h') heading_path", token)
 
 
 def _split(text: str) -> list[str]:
@@ -66,29 +54,29 @@ def _split(text: str) -> list[str]:
     return [*out, part]
 
 
-@query(f"WITH {_DUCK}, {_SECT} SELECT page_id, seg_ord, section::INTEGER AS section FROM t", **_WHOLE)
-def w03_sections(spark, sf, lines=_once):
-    return Z.sections(_segments(spark, sf, lines)).select("page_id", "seg_ord", "section")
+@query(f"WITH {_DUCK}, {_SECT} SELECT page_id, seg_ord, section::INTEGER AS section FROM t")
+def w03_sections(spark, sf):
+    return Z.sections(_segments(spark, sf)).select("page_id", "seg_ord", "section")
 
 
-@query(f"WITH {_DUCK}, {_SECT}, {_UNIT} SELECT page_id, seg_ord, section::INTEGER AS section, unit::BIGINT AS unit FROM u", **_WHOLE)
-def w04_atomic_units(spark, sf, lines=_once):
-    return Z.units(Z.sections(_segments(spark, sf, lines))).select("page_id", "seg_ord", "section", "unit")
+@query(f"WITH {_DUCK}, {_SECT}, {_UNIT} SELECT page_id, seg_ord, section::INTEGER AS section, unit::BIGINT AS unit FROM u")
+def w04_atomic_units(spark, sf):
+    return Z.units(Z.sections(_segments(spark, sf))).select("page_id", "seg_ord", "section", "unit")
 
 
-@query(f"WITH RECURSIVE {_DUCK}, {_SECT}, {_UNIT}, {_PACK} SELECT page_id, item::INTEGER AS item, zone::INTEGER AS zone FROM z", **_WHOLE)
-def w05_greedy_pack(spark, sf, lines=_once):
+@query(f"WITH RECURSIVE {_DUCK}, {_SECT}, {_UNIT}, {_PACK} SELECT page_id, item::INTEGER AS item, zone::INTEGER AS zone FROM z")
+def w05_greedy_pack(spark, sf):
     """Greedy packing in built-in functions."""
-    return Z.greedy_sql(Z.items(Z.units(Z.sections(_segments(spark, sf, lines))), _LIMIT, atomic=False), _LIMIT).select("page_id", "item", "zone")
+    return Z.greedy_sql(Z.items(Z.units(Z.sections(_segments(spark, sf))), _LIMIT, atomic=False), _LIMIT).select("page_id", "item", "zone")
 
 
 _ZONES = f"WITH RECURSIVE {_DUCK}, {_SECT}, {_UNIT}, {_PACK}, a AS (SELECT u.*, z.zone FROM u JOIN z ON u.page_id = z.page_id AND u.section = z.section AND (z.part = 0 OR z.part = u.unit))"
 
 
-@query(_ZONES + """ SELECT page_id, printf('zone-%03d', zone) AS zone_id, string_agg(id, ',' ORDER BY seg_ord) AS targets, sum(n)::BIGINT AS chars FROM a GROUP BY page_id, zone""", **_WHOLE)
-def w09_zones(spark, sf, lines=_once):
+@query(_ZONES + """ SELECT page_id, printf('zone-%03d', zone) AS zone_id, string_agg(id, ',' ORDER BY seg_ord) AS targets, sum(n)::BIGINT AS chars FROM a GROUP BY page_id, zone""")
+def w09_zones(spark, sf):
     """Zones with their targets in order; sections stay whole where they fit."""
-    segments = _segments(spark, sf, lines)
+    segments = _segments(spark, sf)
     planned = Z.plan(segments, _LIMIT)
     sizes = Z.zone_targets(planned).join(segments.select("page_id", F.col("id").alias("segment_id"), F.length("source_text").alias("n")), ["page_id", "segment_id"]).groupBy("page_id", "zone_id").agg(F.sum("n").alias("chars"))
     return planned.select("page_id", F.col("id").alias("zone_id"), F.array_join("target_ids", ",").alias("targets")).join(sizes, ["page_id", "zone_id"])
@@ -103,30 +91,30 @@ def w09_zones(spark, sf, lines=_once):
  c2 AS (SELECT *, coalesce(budget > 0 AND an1 <= l1, FALSE) AS t2, l1 - CASE WHEN budget > 0 AND an1 <= l1 THEN an1 ELSE 0 END AS l2 FROM c1),
  c3 AS (SELECT *, coalesce(budget > 0 AND bn2 <= l2, FALSE) AS t3, l2 - CASE WHEN budget > 0 AND bn2 <= l2 THEN bn2 ELSE 0 END AS l3 FROM c2),
  c4 AS (SELECT *, coalesce(budget > 0 AND an2 <= l3, FALSE) AS t4 FROM c3)
- SELECT page_id, printf('zone-%03d', zone) AS zone_id, concat_ws(',', CASE WHEN t3 THEN b2 END, CASE WHEN t1 THEN b1 END) AS before, concat_ws(',', CASE WHEN t2 THEN a1 END, CASE WHEN t4 THEN a2 END) AS after FROM c4""", **_WHOLE)
-def w10_context(spark, sf, lines=_once):
+ SELECT page_id, printf('zone-%03d', zone) AS zone_id, concat_ws(',', CASE WHEN t3 THEN b2 END, CASE WHEN t1 THEN b1 END) AS before, concat_ws(',', CASE WHEN t2 THEN a1 END, CASE WHEN t4 THEN a2 END) AS after FROM c4""")
+def w10_context(spark, sf):
     """Read-only neighbours, nearest first, as far as the budget goes."""
-    planned = Z.plan(_segments(spark, sf, lines), _LIMIT)
+    planned = Z.plan(_segments(spark, sf), _LIMIT)
     return planned.select("page_id", F.col("id").alias("zone_id"), F.array_join("context_before_ids", ",").alias("before"), F.array_join("context_after_ids", ",").alias("after"))
 
 
 @query()
 def w06_balanced_zones(spark, sf):
     """Three zones as even as can be; held to goldens and invariants in the tests."""
-    planned = Z.plan(_segments(spark, sf, _numbered), 200, 3)
+    planned = Z.plan(_segments(spark, sf), 200, 3)
     return planned.select("page_id", F.col("id").alias("zone_id"), F.array_join("target_ids", ",").alias("targets"))
 
 
 @query(f"WITH {_DUCK} SELECT DISTINCT page_id FROM seg WHERE FALSE")
 def a04_partition_errors(spark, sf):
     """Pages whose zones aren't an exact partition of the targets: none."""
-    segments = _segments(spark, sf, _numbered)
+    segments = _segments(spark, sf)
     return Z.partition_errors(segments, Z.plan(segments, _LIMIT))
 
 
-@query(f"""WITH {_DUCK}, {_SECT}, {_UNIT} SELECT page_id, min(seg_ord) AS first FROM u GROUP BY page_id, section, unit HAVING sum(n) > 50""", **_WHOLE)
-def v05_oversized_units(spark, sf, lines=_once):
-    return Z.oversized(Z.units(Z.sections(_segments(spark, sf, lines))), 50).select("page_id", "first")
+@query(f"""WITH {_DUCK}, {_SECT}, {_UNIT} SELECT page_id, min(seg_ord) AS first FROM u GROUP BY page_id, section, unit HAVING sum(n) > 50""")
+def v05_oversized_units(spark, sf):
+    return Z.oversized(Z.units(Z.sections(_segments(spark, sf))), 50).select("page_id", "first")
 
 
 @query("SELECT l_orderkey AS page_id, 's' || l_linenumber AS id FROM lineitem GROUP BY ALL HAVING count(*) > 1")
@@ -134,6 +122,6 @@ def a01_duplicate_ids(spark, sf):
     return Z.duplicate_ids(table(spark, sf, "lineitem").selectExpr("l_orderkey page_id", "'s' || l_linenumber id"))
 
 
-@query(_ZONES + """ SELECT page_id, printf('zone-%03d', zone) AS zone_id, id AS segment_id, (row_number() OVER (PARTITION BY page_id, zone ORDER BY seg_ord) - 1)::INTEGER AS pos FROM a""", **_WHOLE)
-def j01_zone_targets(spark, sf, lines=_once):
-    return Z.zone_targets(Z.plan(_segments(spark, sf, lines), _LIMIT)).select("page_id", "zone_id", "segment_id", "pos")
+@query(_ZONES + """ SELECT page_id, printf('zone-%03d', zone) AS zone_id, id AS segment_id, (row_number() OVER (PARTITION BY page_id, zone ORDER BY seg_ord) - 1)::INTEGER AS pos FROM a""")
+def j01_zone_targets(spark, sf):
+    return Z.zone_targets(Z.plan(_segments(spark, sf), _LIMIT)).select("page_id", "zone_id", "segment_id", "pos")
