@@ -1,22 +1,26 @@
 """Repeated word spans by De Bruijn compaction.
 
-Windows of ``size`` words are the edges of a De Bruijn graph over word sequences.  Runs of windows whose least
-``SMER``-word hash lies at the same place are nonbranching paths that can be found within one document; each travels
-as one row (its anchor, a digest of its words, its source coordinate) instead of one row a window:
-
-1. ``_pieces``: the paths of every document.  Equal paths of one batch are told apart at once: all but the earliest are
-   repeated, so a hot passage sends one row a batch and not one a copy.
-2. ``_first``: paths meet on their anchor; of equal ones all but the earliest are repeated, with the earliest's
-   coordinate as their source.  Where paths with one anchor differ (the ends of repeated spans), their windows meet on
-   their own hashes in the same way.
-3. Repeated pieces of one document that continue each other at the same distance from their source compact into long
-   spans; each span's words are compared with those at its source through joins on both coordinates.
-
-The result is that of comparing all windows.  No step needs more of a group than its earliest coordinate.
+Windows of ``size`` words are the edges of a De Bruijn graph whose nodes are the sequences of ``size - 1`` words; an edge
+is named by the hashes of its two nodes.
+
+1. ``_pieces``: runs of windows whose least ``SMER``-word hash (the anchor) lies at the same place, a row a run.  Equal
+   windows have equal anchors, so only runs whose anchor occurs again can hold a repeated window; the others end here.
+   Of runs equal within one batch of documents all but the earliest are repeated, with the earliest as their source.
+2. ``_edges``: the windows of the runs that are left as rows (left node, right node, document, place); those repeated
+   within a batch are told apart at once in the same way, so a hot window sends one row a batch and not one a copy.
+3. ``edge_table``: one row per repeated edge with its earliest coordinate, by an aggregation with map-side combination.
+4. ``label_paths``: in- and out-degrees of the nodes; edges whose sources run on through nodes that don't branch are one
+   path, named by the coordinate of its first edge.
+5. Occurrences meet their edge by a join; those that continue each other on one path compact into spans, whose words
+   are compared with those at their source through joins on both coordinates.
+
+The result is that of comparing all windows.  No worker holds the rows of one edge or anchor: groups only meet
+aggregates of theirs, in joins that Spark can split.
 
 Defined cases: a null text has no words; texts under ``size`` words lose nothing; a null id comes after all others;
 rows equal in id and text count as one document and give equal rows; rows that share an id but not the text are
-ordered by a hash of the text; an empty table gives an empty table; other columns are never read.
+ordered by a hash of the text; two word sequences with one hash (128 bits) stop the run instead of changing its
+result; an empty table gives an empty table; other columns are never read.
 """
 
 from __future__ import annotations
@@ -39,9 +43,10 @@ SMER = 6
 #: Words of one batch of documents.
 BATCH = 1 << 20
 _U = np.uint64
-_ROWS = "anchor bigint, digest bigint, doc bigint, place bigint, src_doc bigint, src bigint, kind tinyint"
-#: Kinds of rows: a path not known to be repeated, a repeated one, one whose windows must be compared.
-OPEN, REPEATED, SPLIT = 0, 1, 2
+_NAMES = ["a", "b", "doc", "place", "src_doc", "src", "kind"]
+_ROWS = "a bigint, b bigint, doc bigint, place bigint, src_doc bigint, src bigint, kind tinyint"
+#: Kinds of rows: not known to be repeated, repeated (with its source), the earliest of several in its batch.
+OPEN, REPEATED, AGAIN = 0, 1, 2
 #: ``place`` holds a start and in its low bits the number of windows from there.
 COUNT_BITS = 6
 
@@ -84,8 +89,8 @@ def sequence_hashes(h: np.ndarray, size: int) -> np.ndarray:
     return _mix(out + _U(size))
 
 
-def paths(h: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
-    """Paths of documents that lie end to end in ``h``: document, start, windows, anchor, digest."""
+def runs(h: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """Runs of windows of documents that lie end to end in ``h``: document, start, windows, anchor, digest."""
     smer = min(SMER, size)
     window, least = sequence_hashes(h, size), sequence_hashes(h, smer)
     if not window.size:
@@ -103,7 +108,7 @@ def paths(h: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np.ndarray, ..
     inside = np.arange(n) + size <= ends[doc]
     new = np.r_[True, (where[1:] != where[:-1]) | ~inside[:-1] | (doc[1:] != doc[:-1])] & inside
     start = np.flatnonzero(new)
-    # a path ends before the next start or before the first window that leaves its document
+    # a run ends before the next start or before the first window that leaves its document
     stop = np.minimum(np.r_[start[1:], n], (ends - size + 1)[doc[start]]) if start.size else start
     first = ends - lengths
     digest = _pair(_pair(window[start], window[stop - 1]), _mix((stop - start).astype(_U)) + (where[start] - start).astype(_U))
@@ -111,8 +116,7 @@ def paths(h: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np.ndarray, ..
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    names = ["anchor", "digest", "doc", "place", "src_doc", "src", "kind"]
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.int8() if n == "kind" else pa.int64()) for n, x in zip(names, rows, strict=True)], names)
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int8() if n == "kind" else pa.int64()) for n, x in zip(_NAMES, rows, strict=True)], _NAMES)
 
 
 def _settle(a: np.ndarray, g: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -123,13 +127,16 @@ def _settle(a: np.ndarray, g: np.ndarray, doc: np.ndarray, place: np.ndarray) ->
     return a, g, doc, place, np.maximum.accumulate(np.where(new, np.arange(a.size), 0))
 
 
-def _told(a, g, doc, place) -> pa.RecordBatch:
-    a, g, doc, place, head = _settle(a, g, doc, place)
+def _told(a, b, doc, place) -> pa.RecordBatch:
+    """Rows of a batch: of those equal in (a, b) the earliest stays open, the others have it as their source."""
+    a, b, doc, place, head = _settle(a, b, doc, place)
     # the same place of the same document may come twice (repeated rows); it doesn't repeat itself
     same = (doc == doc[head]) & (place == place[head])
+    again = np.zeros(a.size, bool)
+    again[head[~same]] = True
     keep = ~same | (head == np.arange(a.size))
-    a, g, doc, place, src_doc, src, same = (x[keep] for x in (a, g, doc, place, doc[head], place[head], same))
-    return _batch([a.view(np.int64), g.view(np.int64), doc, place, src_doc, src, np.where(same, OPEN, REPEATED).astype(np.int8)])
+    kind = np.where(~same, REPEATED, np.where(again, AGAIN, OPEN)).astype(np.int8)
+    return _batch([x[keep] for x in (a.view(np.int64), b.view(np.int64), doc, place, doc[head], place[head], kind)])
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
@@ -150,70 +157,50 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
 def _pieces(size: int):
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _documents(batches):
-            doc, start, count, anchor, digest = paths(np.concatenate([h for _, h, _ in group]), np.array([h.size for _, h, _ in group]), size)
+            doc, start, count, anchor, digest = runs(np.concatenate([h for _, h, _ in group]), np.array([h.size for _, h, _ in group]), size)
             ids = np.array([d for d, _, _ in group], dtype=np.int64)
             yield _told(anchor, digest, ids[doc], start << COUNT_BITS | count)
 
     return pieces
 
 
-def _windows(size: int):
-    """All windows of the given places, each as a path of one window under two hashes."""
+def _edges(size: int):
+    """All windows of the given runs, each under the hashes of its two nodes."""
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _documents(batches):
             parts = []
             for doc, h, places in group:
-                hashes = sequence_hashes(h, size)
+                nodes = sequence_hashes(h, size - 1)
                 places = np.unique(np.array(places, dtype=np.int64))
                 at, n = places >> COUNT_BITS, places & ((1 << COUNT_BITS) - 1)
                 at = np.repeat(at - np.cumsum(n) + n, n) + np.arange(n.sum())
-                other = _pair(h[at], _pair(h[at + size // 2], h[at + size - 1]))
-                parts.append((hashes[at], other, np.full(at.size, doc), at << COUNT_BITS | 1))
+                parts.append((nodes[at], nodes[at + 1], np.full(at.size, doc), at << COUNT_BITS | 1))
             yield _told(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
-    return windows
-
-
-def _first(split: bool):
-    """Sorted open rows to repeated ones; with ``split`` also the first of each, where one anchor has several."""
-
-    def told(a, g, doc, place):
-        head = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (g[1:] != g[:-1])])
-        of = np.repeat(head, np.diff(np.r_[head, a.size]))
-        kind = np.where(of != np.arange(a.size), REPEATED, OPEN).astype(np.int8)
-        kind[(doc == doc[of]) & (place == place[of])] = OPEN
-        if split:
-            several = np.zeros(a.size, bool)
-            more = head[1:][a[head[1:]] == a[head[:-1]]]
-            several[more] = True
-            before = head[:-1][a[head[1:]] == a[head[:-1]]]
-            several[before] = True
-            kind[several] = SPLIT
-        keep = kind != OPEN
-        return _batch([a[keep], g[keep], doc[keep], place[keep], doc[of][keep], place[of][keep], kind[keep]])
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in batches:
-            now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-            if rest is not None:
-                now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
-            if not now[0].size:
-                continue
-            cut = int(np.flatnonzero(np.r_[True, now[0][1:] != now[0][:-1]])[-1])
-            if cut:
-                yield told(*(x[:cut] for x in now))
-            rest = [x[cut:] for x in now]
-        if rest is not None and rest[0].size:
-            yield told(*rest)
-
-    return first
-
-
-def _firsts(rows: DataFrame, split: bool) -> DataFrame:
-    order = ["anchor", "digest", "doc", "place"]
-    return rows.where(F.col("kind") == OPEN).select(*order).repartition("anchor").sortWithinPartitions(*order).mapInArrow(_first(split), _ROWS)
+    return edges
+
+
+def edge_table(windows: DataFrame) -> DataFrame:
+    """Open windows to ``(a, b, src_doc, src)``: the repeated edges with their earliest coordinate.
+
+    A document lies in one batch, so it has one open row an edge at most and the least document decides alone.
+    """
+    open_rows = windows.where(F.col("kind") != REPEATED)
+    found = open_rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("kind").alias("most"), F.min("doc").alias("src_doc"), F.min_by("place", "doc").alias("src"))
+    return found.where((F.col("n") > 1) | (F.col("most") == AGAIN)).select("a", "b", "src_doc", "src")
+
+
+def label_paths(edges: DataFrame) -> DataFrame:
+    """``(a, b, src_doc, src)`` with ``path``: the source of the first edge of the nonbranching path that an edge lies on."""
+    out = edges.groupBy("a").count().where("count > 1").select(F.col("a").alias("node"))
+    into = edges.groupBy("b").count().where("count > 1").select(F.col("b").alias("node"))
+    branching = out.union(into).distinct().withColumn("branches", F.lit(True))
+    marked = edges.join(branching, edges["a"] == branching["node"], "left")
+    of = Window.partitionBy("src_doc").orderBy("src")
+    follows = F.lag("src").over(of) + (1 << COUNT_BITS) == F.col("src")
+    begins = F.when(F.coalesce(follows, F.lit(False)) & F.col("branches").isNull(), F.lit(None)).otherwise(F.col("src"))
+    return marked.withColumn("begins", begins).withColumn("path", F.last("begins", ignorenulls=True).over(of)).select("a", "b", "src_doc", "src", "path")
 
 
 def _with_text(docs: DataFrame, lists: DataFrame) -> DataFrame:
@@ -231,34 +218,41 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_spans(docs: DataFrame, scratch: Scratch, size: int = 20) -> DataFrame:
     """``docs(doc, text)`` with unique ids to ``(doc, start, n, src_doc, src)``: verified spans of n words whose windows all start earlier at their source."""
-    if size > (1 << COUNT_BITS) - 1 + SMER:
-        raise ValueError("window too long")
+    if size < 2 or size > (1 << COUNT_BITS) - 1 + SMER:
+        raise ValueError("window too short or too long")
     pieces = scratch.write("pieces", docs.mapInArrow(_pieces(size), _ROWS))
-    firsts = scratch.write("firsts", _firsts(pieces, True))
-    found = scratch.write("found-1", pieces.union(firsts).where(F.col("kind") == REPEATED).select("doc", "place", "src_doc", "src"))
-    scratch.drop("pieces")
+    left = pieces.where(F.col("kind") != REPEATED)
+    # a run that is repeated in its batch stands for two
+    anchors = left.groupBy("a").agg(F.sum(F.when(F.col("kind") == AGAIN, 2).otherwise(1)).alias("n")).where("n > 1")
+    asked = left.join(anchors.select("a"), "a").groupBy("doc").agg(F.collect_list("place").alias("places"))
+    windows = scratch.write("windows", _with_text(docs, asked).select("doc", "text", "places").mapInArrow(_edges(size), _ROWS))
     scratch.settle()
-    asked = firsts.where(F.col("kind") == SPLIT).groupBy("doc").agg(F.collect_list("place").alias("places"))
-    windows = scratch.write("windows", _with_text(docs, asked).select("doc", "text", "places").mapInArrow(_windows(size), _ROWS))
-    scratch.drop("firsts")
+    whole = F.lit(None).cast("bigint").alias("path")
+    of_runs = pieces.where(F.col("kind") == REPEATED).select("doc", "place", "src_doc", "src", whole)
+    edges = scratch.write("edges", edge_table(windows))
+    paths = scratch.write("paths", label_paths(edges))
+    scratch.drop("edges")
     scratch.settle()
-    more = windows.where(F.col("kind") == REPEATED).union(_firsts(windows, False)).select("doc", "place", "src_doc", "src")
-    found = found.union(scratch.write("found-2", more))
-    scratch.drop("windows")
+    met = windows.where(F.col("kind") != REPEATED).select("a", "b", "doc", "place").join(paths, ["a", "b"]).where("doc <> src_doc or place <> src").select("doc", "place", "src_doc", "src", "path")
+    of_batch = windows.where(F.col("kind") == REPEATED).select("doc", "place", "src_doc", "src", whole)
+    spans = scratch.write("spans", compact(of_runs.union(of_batch).union(met), size))
+    scratch.drop("pieces", "windows", "paths")
     scratch.settle()
-    spans = scratch.write("spans", compact(found, size))
-    scratch.drop("found-1", "found-2")
     digests = scratch.write("digests", _span_digests(docs, spans))
     scratch.settle()
-    return spans.join(digests.withColumnRenamed("words", "own"), ["doc", "start", "n"]).join(digests.toDF("src_doc", "src", "n", "there"), ["src_doc", "src", "n"]).where("own = there").select("doc", "start", "n", "src_doc", "src")
+    own, there = digests.withColumnRenamed("words", "own"), digests.toDF("src_doc", "src", "n", "there")
+    checked = spans.join(own, ["doc", "start", "n"]).join(there, ["src_doc", "src", "n"])
+    equal = F.when(F.col("own") == F.col("there"), True).otherwise(F.raise_error(F.lit("two word sequences with one hash")).cast("boolean"))
+    return checked.where(equal).select("doc", "start", "n", "src_doc", "src")
 
 
 def compact(found: DataFrame, size: int) -> DataFrame:
-    """Pieces that continue each other in their document and at their source, as one span."""
+    """Pieces that continue each other in their document, at their source and on their path, as one span."""
     low = F.lit((1 << COUNT_BITS) - 1).cast("bigint")
-    piece = found.select("doc", F.shiftright("place", COUNT_BITS).alias("start"), F.col("place").bitwiseAND(low).alias("count"), "src_doc", F.shiftright("src", COUNT_BITS).alias("src"))
+    piece = found.select("doc", F.shiftright("place", COUNT_BITS).alias("start"), F.col("place").bitwiseAND(low).alias("count"), "src_doc", F.shiftright("src", COUNT_BITS).alias("src"), "path")
     of = Window.partitionBy("doc").orderBy("start", "src_doc", "src")
-    same = (F.lag("src_doc").over(of) == F.col("src_doc")) & (F.lag("src").over(of) - F.lag("start").over(of) == F.col("src") - F.col("start")) & (F.lag("start").over(of) + F.lag("count").over(of) >= F.col("start"))
+    runs_on = (F.lag("src_doc").over(of) == F.col("src_doc")) & (F.lag("src").over(of) - F.lag("start").over(of) == F.col("src") - F.col("start")) & (F.lag("start").over(of) + F.lag("count").over(of) >= F.col("start"))
+    same = runs_on & F.col("path").eqNullSafe(F.lag("path").over(of))
     marked = piece.withColumn("new", F.when(same, 0).otherwise(1))
     numbered = marked.withColumn("span", F.sum("new").over(of.rowsBetween(Window.unboundedPreceding, 0)))
     spans = numbered.groupBy("doc", "span").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("count")).alias("stop"), F.first("src_doc").alias("src_doc"), F.min("src").alias("src"))
