@@ -3,11 +3,12 @@
 Windows of ``size`` words are the edges of a De Bruijn graph whose nodes are the sequences of ``size - 1`` words; an edge
 is named by the hashes of its two nodes.
 
-1. ``_pieces``: runs of windows whose least ``SMER``-word hash (the anchor) lies at the same place, a row a run.  Equal
-   windows have equal anchors, so only runs whose anchor occurs again can hold a repeated window; the others end here.
-   Of runs equal within one batch of documents all but the earliest are repeated, with the earliest as their source.
-2. ``_edges``: the windows of the runs that are left as rows (left node, right node, document, place); those repeated
-   within a batch are told apart at once in the same way, so a hot window sends one row a batch and not one a copy.
+1. ``_pieces``: runs of windows whose least ``SMER``-word hash (the anchor) lies at the same place, an edge of several
+   windows each, named by its first and its last node.  Equal windows have equal anchors, so a run can hold a repeated
+   window only if its anchor occurs again.  Of runs equal within one batch of documents all but the earliest are
+   repeated, with the earliest as their source: a hot passage sends one row a batch and not one a copy.
+2. ``_edges``: where runs with one anchor differ (the ends of repeated passages), their windows become edges of one
+   window each.  Everywhere else a run stays one edge.
 3. ``edge_table``: one row per repeated edge with its earliest coordinate, by an aggregation with map-side combination.
 4. ``label_paths``: in- and out-degrees of the nodes; edges whose sources run on through nodes that don't branch are one
    path, named by the coordinate of its first edge.
@@ -43,8 +44,8 @@ SMER = 6
 #: Words of one batch of documents.
 BATCH = 1 << 20
 _U = np.uint64
-_NAMES = ["a", "b", "doc", "place", "src_doc", "src", "kind"]
-_ROWS = "a bigint, b bigint, doc bigint, place bigint, src_doc bigint, src bigint, kind tinyint"
+_NAMES = ["anchor", "left", "right", "doc", "place", "src_doc", "src", "kind"]
+_ROWS = "anchor bigint, left bigint, right bigint, doc bigint, place bigint, src_doc bigint, src bigint, kind tinyint"
 #: Kinds of rows: not known to be repeated, repeated (with its source), the earliest of several in its batch.
 OPEN, REPEATED, AGAIN = 0, 1, 2
 #: ``place`` holds a start and in its low bits the number of windows from there.
@@ -90,12 +91,12 @@ def sequence_hashes(h: np.ndarray, size: int) -> np.ndarray:
 
 
 def runs(h: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
-    """Runs of windows of documents that lie end to end in ``h``: document, start, windows, anchor, digest."""
+    """Runs of windows of documents that lie end to end in ``h``: document, start, windows, anchor, first and last node."""
     smer = min(SMER, size)
-    window, least = sequence_hashes(h, size), sequence_hashes(h, smer)
-    if not window.size:
-        return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, _U, _U))
-    n, width = window.size, size - smer + 1
+    nodes, least = sequence_hashes(h, size - 1), sequence_hashes(h, smer)
+    n, width = h.size - size + 1, size - smer + 1
+    if n <= 0:
+        return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, _U, _U, _U))
     best, where = least[:n].copy(), np.zeros(n, np.int64)
     for d in range(1, width):
         other = least[d : d + n]
@@ -111,32 +112,30 @@ def runs(h: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np.ndarray, ...
     # a run ends before the next start or before the first window that leaves its document
     stop = np.minimum(np.r_[start[1:], n], (ends - size + 1)[doc[start]]) if start.size else start
     first = ends - lengths
-    digest = _pair(_pair(window[start], window[stop - 1]), _mix((stop - start).astype(_U)) + (where[start] - start).astype(_U))
-    return doc[start], start - first[doc[start]], stop - start, best[start], digest
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.int8() if n == "kind" else pa.int64()) for n, x in zip(_NAMES, rows, strict=True)], _NAMES)
-
-
-def _settle(a: np.ndarray, g: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Rows in order of (a, g, doc, place); for each the index of the first row equal in (a, g)."""
-    order = np.lexsort((place, doc, g, a))
-    a, g, doc, place = a[order], g[order], doc[order], place[order]
-    new = np.r_[True, (a[1:] != a[:-1]) | (g[1:] != g[:-1])] if a.size else np.empty(0, bool)
-    return a, g, doc, place, np.maximum.accumulate(np.where(new, np.arange(a.size), 0))
+    return doc[start], start - first[doc[start]], stop - start, best[start], nodes[start], nodes[stop]
 
 
-def _told(a, b, doc, place) -> pa.RecordBatch:
-    """Rows of a batch: of those equal in (a, b) the earliest stays open, the others have it as their source."""
-    a, b, doc, place, head = _settle(a, b, doc, place)
+def _told(anchor, left, right, doc, place) -> pa.RecordBatch:
+    """Edges of a batch: of equal ones the earliest stays open, the others have it as their source."""
+    count = place & ((1 << COUNT_BITS) - 1)
+    order = np.lexsort((place, doc, count, right, left))
+    left, right, count, doc, place, anchor = (x[order] for x in (left, right, count, doc, place, anchor))
+    at = np.arange(left.size)
+    new = np.r_[True, (left[1:] != left[:-1]) | (right[1:] != right[:-1]) | (count[1:] != count[:-1])] if left.size else np.empty(0, bool)
+    head = np.maximum.accumulate(np.where(new, at, 0))
     # the same place of the same document may come twice (repeated rows); it doesn't repeat itself
     same = (doc == doc[head]) & (place == place[head])
-    again = np.zeros(a.size, bool)
+    again = np.zeros(left.size, bool)
     again[head[~same]] = True
-    keep = ~same | (head == np.arange(a.size))
-    kind = np.where(~same, REPEATED, np.where(again, AGAIN, OPEN)).astype(np.int8)
-    return _batch([x[keep] for x in (a.view(np.int64), b.view(np.int64), doc, place, doc[head], place[head], kind)])
+    keep = np.flatnonzero(~same | (head == at))
+    keep = keep[np.lexsort((place[keep], doc[keep]))]
+    known, repeated = head[keep], ~same[keep]
+    kind = np.where(repeated, REPEATED, np.where(again[keep], AGAIN, OPEN)).astype(np.int8)
+    plain = [x[keep].view(np.int64) for x in (anchor, left, right, doc, place)]
+    # hashes are needed of open rows only, sources of repeated ones only
+    hashes = [pa.array(x, pa.int64(), mask=repeated) for x in plain[:3]]
+    sources = [pa.array(x[known], pa.int64(), mask=~repeated) for x in (doc, place)]
+    return pa.RecordBatch.from_arrays([*hashes, *map(pa.array, plain[3:]), *sources, pa.array(kind)], _NAMES)
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
@@ -157,15 +156,15 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
 def _pieces(size: int):
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _documents(batches):
-            doc, start, count, anchor, digest = runs(np.concatenate([h for _, h, _ in group]), np.array([h.size for _, h, _ in group]), size)
+            doc, start, count, anchor, left, right = runs(np.concatenate([h for _, h, _ in group]), np.array([h.size for _, h, _ in group]), size)
             ids = np.array([d for d, _, _ in group], dtype=np.int64)
-            yield _told(anchor, digest, ids[doc], start << COUNT_BITS | count)
+            yield _told(anchor, left, right, ids[doc], start << COUNT_BITS | count)
 
     return pieces
 
 
 def _edges(size: int):
-    """All windows of the given runs, each under the hashes of its two nodes."""
+    """All windows of the given runs, an edge each."""
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _documents(batches):
@@ -175,32 +174,35 @@ def _edges(size: int):
                 places = np.unique(np.array(places, dtype=np.int64))
                 at, n = places >> COUNT_BITS, places & ((1 << COUNT_BITS) - 1)
                 at = np.repeat(at - np.cumsum(n) + n, n) + np.arange(n.sum())
-                parts.append((nodes[at], nodes[at + 1], np.full(at.size, doc), at << COUNT_BITS | 1))
+                parts.append((np.zeros(at.size, _U), nodes[at], nodes[at + 1], np.full(at.size, doc), at << COUNT_BITS | 1))
             yield _told(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
     return edges
 
 
-def edge_table(windows: DataFrame) -> DataFrame:
-    """Open windows to ``(a, b, src_doc, src)``: the repeated edges with their earliest coordinate.
+def _count(place: str = "place"):
+    return F.col(place).bitwiseAND(F.lit((1 << COUNT_BITS) - 1).cast("bigint"))
+
+
+def edge_table(rows: DataFrame) -> DataFrame:
+    """Open ``rows(left, right, n, doc, place, kind)`` to ``(left, right, n, src_doc, src)``: the repeated edges with their earliest coordinate.
 
     A document lies in one batch, so it has one open row an edge at most and the least document decides alone.
     """
-    open_rows = windows.where(F.col("kind") != REPEATED)
-    found = open_rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("kind").alias("most"), F.min("doc").alias("src_doc"), F.min_by("place", "doc").alias("src"))
-    return found.where((F.col("n") > 1) | (F.col("most") == AGAIN)).select("a", "b", "src_doc", "src")
+    found = rows.groupBy("left", "right", "n").agg(F.count(F.lit(1)).alias("many"), F.max("kind").alias("most"), F.min("doc").alias("src_doc"), F.min_by("place", "doc").alias("src"))
+    return found.where((F.col("many") > 1) | (F.col("most") == AGAIN)).select("left", "right", "n", "src_doc", "src")
 
 
 def label_paths(edges: DataFrame) -> DataFrame:
-    """``(a, b, src_doc, src)`` with ``path``: the source of the first edge of the nonbranching path that an edge lies on."""
-    out = edges.groupBy("a").count().where("count > 1").select(F.col("a").alias("node"))
-    into = edges.groupBy("b").count().where("count > 1").select(F.col("b").alias("node"))
+    """The edges with ``path``: the source of the first edge of the nonbranching path that an edge lies on."""
+    out = edges.groupBy("left").count().where("count > 1").select(F.col("left").alias("node"))
+    into = edges.groupBy("right").count().where("count > 1").select(F.col("right").alias("node"))
     branching = out.union(into).distinct().withColumn("branches", F.lit(True))
-    marked = edges.join(branching, edges["a"] == branching["node"], "left")
-    of = Window.partitionBy("src_doc").orderBy("src")
-    follows = F.lag("src").over(of) + (1 << COUNT_BITS) == F.col("src")
+    marked = edges.join(branching, edges["left"] == branching["node"], "left").withColumn("at", F.shiftright("src", COUNT_BITS))
+    of = Window.partitionBy("src_doc").orderBy("at")
+    follows = F.lag("at").over(of) + F.lag("n").over(of) == F.col("at")
     begins = F.when(F.coalesce(follows, F.lit(False)) & F.col("branches").isNull(), F.lit(None)).otherwise(F.col("src"))
-    return marked.withColumn("begins", begins).withColumn("path", F.last("begins", ignorenulls=True).over(of)).select("a", "b", "src_doc", "src", "path")
+    return marked.withColumn("begins", begins).withColumn("path", F.last("begins", ignorenulls=True).over(of)).select("left", "right", "n", "src_doc", "src", "path")
 
 
 def _with_text(docs: DataFrame, lists: DataFrame) -> DataFrame:
@@ -221,22 +223,32 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, size: int = 20) -> DataFra
     if size < 2 or size > (1 << COUNT_BITS) - 1 + SMER:
         raise ValueError("window too short or too long")
     pieces = scratch.write("pieces", docs.mapInArrow(_pieces(size), _ROWS))
-    left = pieces.where(F.col("kind") != REPEATED)
+    known = ["doc", "place", "src_doc", "src"]
+    repeated = scratch.write("repeated", pieces.where(F.col("kind") == REPEATED).select(*known))
+    left = pieces.where(F.col("kind") != REPEATED).select("anchor", "left", "right", "doc", "place", "kind")
+    digest = F.xxhash64("left", "right", _count())
     # a run that is repeated in its batch stands for two
-    anchors = left.groupBy("a").agg(F.sum(F.when(F.col("kind") == AGAIN, 2).otherwise(1)).alias("n")).where("n > 1")
-    asked = left.join(anchors.select("a"), "a").groupBy("doc").agg(F.collect_list("place").alias("places"))
+    weight = F.sum(F.when(F.col("kind") == AGAIN, 2).otherwise(1))
+    anchors = left.groupBy("anchor").agg(weight.alias("many"), F.min(digest).alias("low"), F.max(digest).alias("high")).where("many > 1")
+    anchors = scratch.write("anchors", anchors.select("anchor", (F.col("low") != F.col("high")).alias("differ")))
+    scratch.settle()
+    runs_left = scratch.write("runs", left.join(anchors, "anchor").drop("anchor"))
+    scratch.drop("pieces", "anchors")
+    scratch.settle()
+    asked = runs_left.where("differ").groupBy("doc").agg(F.collect_list("place").alias("places"))
     windows = scratch.write("windows", _with_text(docs, asked).select("doc", "text", "places").mapInArrow(_edges(size), _ROWS))
     scratch.settle()
-    whole = F.lit(None).cast("bigint").alias("path")
-    of_runs = pieces.where(F.col("kind") == REPEATED).select("doc", "place", "src_doc", "src", whole)
-    edges = scratch.write("edges", edge_table(windows))
+    names = ["left", "right", _count().alias("n"), "doc", "place", "kind"]
+    rows = runs_left.where("not differ").select(*names).union(windows.where(F.col("kind") != REPEATED).select(*names))
+    edges = scratch.write("edges", edge_table(rows))
     paths = scratch.write("paths", label_paths(edges))
     scratch.drop("edges")
     scratch.settle()
-    met = windows.where(F.col("kind") != REPEATED).select("a", "b", "doc", "place").join(paths, ["a", "b"]).where("doc <> src_doc or place <> src").select("doc", "place", "src_doc", "src", "path")
-    of_batch = windows.where(F.col("kind") == REPEATED).select("doc", "place", "src_doc", "src", whole)
-    spans = scratch.write("spans", compact(of_runs.union(of_batch).union(met), size))
-    scratch.drop("pieces", "windows", "paths")
+    none = F.lit(None).cast("bigint").alias("path")
+    met = rows.drop("kind").join(paths, ["left", "right", "n"]).where("doc <> src_doc or place <> src").select(*known, "path")
+    of_batch = repeated.union(windows.where(F.col("kind") == REPEATED).select(*known)).select(*known, none)
+    spans = scratch.write("spans", compact(of_batch.union(met), size))
+    scratch.drop("repeated", "runs", "windows", "paths")
     scratch.settle()
     digests = scratch.write("digests", _span_digests(docs, spans))
     scratch.settle()
@@ -248,8 +260,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, size: int = 20) -> DataFra
 
 def compact(found: DataFrame, size: int) -> DataFrame:
     """Pieces that continue each other in their document, at their source and on their path, as one span."""
-    low = F.lit((1 << COUNT_BITS) - 1).cast("bigint")
-    piece = found.select("doc", F.shiftright("place", COUNT_BITS).alias("start"), F.col("place").bitwiseAND(low).alias("count"), "src_doc", F.shiftright("src", COUNT_BITS).alias("src"), "path")
+    piece = found.select("doc", F.shiftright("place", COUNT_BITS).alias("start"), _count().alias("count"), "src_doc", F.shiftright("src", COUNT_BITS).alias("src"), "path")
     of = Window.partitionBy("doc").orderBy("start", "src_doc", "src")
     runs_on = (F.lag("src_doc").over(of) == F.col("src_doc")) & (F.lag("src").over(of) - F.lag("start").over(of) == F.col("src") - F.col("start")) & (F.lag("start").over(of) + F.lag("count").over(of) >= F.col("start"))
     same = runs_on & F.col("path").eqNullSafe(F.lag("path").over(of))

@@ -53,12 +53,12 @@ def test_words_are_cut_at_the_six_bytes_only():
 
 
 def test_a_million_rows_on_one_edge(spark):
-    rows = spark.range(1_000_000).selectExpr("7L a", "9L b", "id + 5 doc", "(id % 11) * 64 + 1 place", "id src_doc", "id src", "cast(0 as tinyint) kind")
-    assert [tuple(r) for r in debruijn.edge_table(rows).collect()] == [(7, 9, 5, 1)]
+    rows = spark.range(1_000_000).selectExpr("7L left", "9L right", "1L n", "id + 5 doc", "(id % 11) * 64 + 1 place", "cast(0 as tinyint) kind")
+    assert [tuple(r) for r in debruijn.edge_table(rows).collect()] == [(7, 9, 1, 5, 1)]
 
 
 def test_paths_end_at_branches(spark):
     # 1-2-3-4 and 1-2-3-5: the node 3 branches, so its edges begin paths of their own
-    edges = [(1, 2, 0, 0), (2, 3, 0, 1), (3, 4, 0, 2), (4, 6, 0, 3), (3, 5, 8, 0)]
-    df = spark.createDataFrame([(a, b, d, p << 6 | 1) for a, b, d, p in edges], "a long, b long, src_doc long, src long")
-    assert {(r.a, r.b): r.path >> 6 for r in debruijn.label_paths(df).collect()} == {(1, 2): 0, (2, 3): 0, (3, 4): 2, (4, 6): 2, (3, 5): 0}
+    edges = [(1, 2, 2, 0, 0), (2, 3, 1, 0, 2), (3, 4, 1, 0, 3), (4, 6, 5, 0, 4), (3, 5, 1, 8, 0)]
+    df = spark.createDataFrame([(a, b, n, d, p << 6 | n) for a, b, n, d, p in edges], "left long, right long, n long, src_doc long, src long")
+    assert {(r.left, r.right): r.path >> 6 for r in debruijn.label_paths(df).collect()} == {(1, 2): 0, (2, 3): 0, (3, 4): 3, (4, 6): 3, (3, 5): 0}
