@@ -8,7 +8,7 @@ recomputed from the original vectors in double precision and kept in a heap of k
 blocks are merged at the end.  The bounds are proven, so the k nearest are exact.
 
 Defined cases: vectors that are null, zero, empty or hold a null or non-finite component take no part, neither do pairs
-of different length meet; a query's own id is no candidate; repeated rows are candidates each; of rows that repeat a
+of different length meet; components of any finite size count, as vectors are scaled by a power of two; a query's own id is no candidate; repeated rows are candidates each; of rows that repeat a
 query's id every different vector asks, and the best k of all stay; ties go to the smaller id; an empty table gives
 an empty table; other columns are never read.
 """
@@ -44,6 +44,9 @@ class Side:
         # the order of ids makes ties and batches alike on every run
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]
+        # a power of two takes no bit and changes no cosine, and no product of components leaves the doubles' range
+        _, power = np.frexp(np.abs(self.vectors).max(axis=1))
+        self.vectors = np.ldexp(self.vectors, -power[:, None])
         self.square = dot(self.vectors, self.vectors)
         top = np.abs(self.vectors).max(axis=1, keepdims=True)
         unit = self.vectors / top
