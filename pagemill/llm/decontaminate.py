@@ -19,11 +19,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.llm.names import fresh, own
+from pagemill.llm.scratch import Scratch
+
 #: Positions that count, from the first; found by search over families of three with six positions each.
 MASKS = ((0, 1, 3, 4, 5, 6), (0, 3, 6, 7, 8, 10), (0, 1, 2, 4, 9, 10))
 WINDOW, SUBSTITUTED = 16, 3 / 16
 #: Benchmarks of up to so many tokens are broadcast (24 bytes a seed, about 100 MB); larger ones are joined by shuffle.
 BROADCAST_TOKENS = 1_000_000
+#: Keys of documents that go are broadcast up to this number (8 bytes each); more are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def allowed(wide: Column) -> Column:
@@ -78,6 +83,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that hold no benchmark item; a row is judged by its own text, whatever its id."""
+    (name,) = fresh(docs, "key")
     key = F.xxhash64(F.col(id_col), F.col(text_col), F.col(text_col).isNull())
-    held = overlaps(docs.select(key.alias("__key"), F.col(text_col)), benchmark, "__key", text_col).select("__key").distinct()
-    return docs.withColumn("__key", key).join(held, "__key", "left_anti").drop("__key")
+    held = overlaps(docs.select(key.alias("key"), F.col(text_col).alias("text")), benchmark, "key", "text").select("key").distinct()
+    held = Scratch(docs.sparkSession, "contaminated").write("held", held.withColumnRenamed("key", name))
+    if held.count() <= BROADCAST_ROWS:
+        held = F.broadcast(held)
+    return docs.withColumn(name, key).join(held, name, "left_anti").select(*own(docs))
