@@ -1,7 +1,8 @@
 """Tables that cut lineage, kept in the folder the cluster shares.
 
-The folder is the session's ``spark.checkpoint.dir``.  Only where that is unset (tests on one
-machine) a temporary folder is made and set as the checkpoint folder.
+The folder is the session's ``spark.checkpoint.dir``.  Only where that is unset and Spark runs on one machine (tests) a
+temporary folder is made and set as the checkpoint folder; on a cluster a missing setting is an error, as executors
+don't see each other's disks.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     base = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         base = _OWN.get(context.applicationId)
         if base is None:
             base = _OWN[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="pagemill-")
