@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -129,8 +131,10 @@ ORACLES["op3_licences"] = licences.duckdb_scan()
 
 @query
 def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key is the session's ``spark.pagemill.surrogates.key``; without one a key is drawn for this run alone."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return surrogates.pseudonymise(docs, b"pagemill-surrogates").select("doc_id", "text", "n_entities")
+    key = spark.conf.get("spark.pagemill.surrogates.key", None)
+    return surrogates.pseudonymise(docs, key.encode()[:64] if key else secrets.token_bytes(32)).select("doc_id", "text", "n_entities")
 
 
 ORACLES["op10_substring_dedup"] = r"""

@@ -35,7 +35,7 @@ def test_one_surrogate_per_value():
 
 def test_names_keep_gender_and_script():
     for (_, _), names in S.GIVEN.items():
-        shown = {S.surrogate(KEY, "name", f"{n} Smith" if n.isascii() else f"{n} Петров").split(" ")[0] for n in names}
+        shown = {S.surrogate(KEY, "given", n) for n in names}
         assert shown == set(names)
     out, _ = S.replace(KEY, "Dr. John Smith met Иван Петров.", {})
     assert re.fullmatch(r"Dr\. [A-Z][a-z]+ [A-Z][a-z]+ met [А-Я][а-я]+ [А-Я][а-я]+\.", out) and "Smith" not in out
@@ -63,3 +63,50 @@ def test_surrogates_that_are_real_values_are_drawn_again(spark):
     df = spark.createDataFrame([(1, "a@b.com"), (2, first)], "doc_id long, text string")
     got = {r.doc_id: r.text for r in S.pseudonymise(df, KEY).collect()}
     assert got[1] not in (first, "a@b.com") and got[2] not in (first, "a@b.com") and got[1] != got[2]
+
+
+def test_parts_of_a_name_follow_it():
+    text = "Alice Smith met Dr. Priya Patel. Ms Smith and Alice saw Patel; the smith stayed."
+    out, n = S.replace(KEY, text, {})
+    m = re.fullmatch(r"(\w+) (\w+) met Dr\. (\w+) (\w+)\. Ms (\w+) and (\w+) saw (\w+); the smith stayed\.", out)
+    assert n == 7 and m[2] == m[5] and m[1] == m[6] and m[4] == m[7] and not {"Alice", "Smith", "Patel"} & set(m.groups())
+
+
+def test_more_kinds():
+    for text in ("Zoë Quinn", "Bob Jones", "Fatima Khan", "2001:db8:0:1::17", "378282246310005", "call 5551234567", "+15551234567", "GB82 WEST 1234 5698 7654 32"):
+        out, n = S.replace(KEY, f"So {text} here", {})
+        assert n and text not in out, text
+    iban = S.replace(KEY, "x GB82 WEST 1234 5698 7654 32 y", {})[0]
+    assert S.iban_check(S.canonical("iban", iban[2:-2])) == 1 and iban[2:4] == "GB"
+    for text in ("std::vector", "at 12:30:45", "order 5551234567", "GB00 WEST 1234 5698 7654 32", "378282246310006"):
+        assert S.replace(KEY, text, {}) == (text, 0), text
+
+
+@pytest.mark.parametrize("n", [400, 676])
+def test_crowded_shapes_stay_distinct(spark, n):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    real = [f"{a}@{b}.com" for a in letters for b in letters][:n]
+    rows = [(i, f"write to {x} or {x.upper()} soon") for i, x in enumerate(real)]
+    rows += [(1000 + i, f"Anna {x} met Anna {x}") for i, x in enumerate(a.upper() + b for a in "bcd" for b in "aeiou")]
+    got = {r.doc_id: r.text for r in S.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), KEY).collect()}
+    shown = [got[i].split(" ")[2] for i in range(n)]
+    assert len(set(shown)) == n and not set(shown) & set(real) and all(got[i].split(" ")[4] == shown[i].upper() for i in range(n))
+    people = [got[i].split(" ")[1] for i in sorted(got) if i >= 1000]
+    known = {r[1].split(" ")[1] for r in rows if r[0] >= 1000}
+    assert len(set(people)) == 15 and not set(people) & known and all(got[i].split(" ")[1] == got[i].split(" ")[4] for i in got if i >= 1000)
+
+
+def test_a_full_space_stops_the_run(spark, monkeypatch):
+    monkeypatch.setattr(S, "MOST_ROUNDS", 2)
+    rows = [(i, f"{i:03d}-55-0001 {i:03d}-55-0002") for i in range(3)]
+    monkeypatch.setattr(S, "surrogate", lambda key, kind, value, attempt=0: "000550001")
+    with pytest.raises(RuntimeError, match="too many values"):
+        S.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), KEY)
+
+
+def test_null_and_long_texts_with_values_drawn_again(spark):
+    first = S.surrogate(KEY, "email", "a@b.com")
+    long = "word " * 200_000 + "a@b.com " + "word " * 200_000
+    df = spark.createDataFrame([(1, long, 5), (2, first, 6), (3, None, 7), (4, "", 8)], "doc_id long, text string, h int")
+    got = {r.doc_id: (r.text, r.h) for r in S.pseudonymise(df, KEY).collect()}
+    assert got[3] == (None, 7) and got[4] == ("", 8) and got[1][0].split()[200_000] not in (first, "a@b.com") and len(got[1][0].split()) == 400_001
