@@ -5,14 +5,23 @@ on at least two whole blocks, so each goes under one key per pair of blocks and
 key.  Within a key the Hamming distance decides; a key's rows leave only a spanning forest of its links,
 which keeps the components and not the square of a group.  Components come from alternating stars.
 
+``keep_one`` uses the same blocks for near-duplicates by shingle similarity.  Texts whose sets of five-word shingles have
+a Jaccard similarity of 0.8 differ in about 15 % of a fingerprint's bits, which no guaranteed split of 64 bits finds.  So
+fingerprints there have 256 bits, over the set of shingles, in 36 blocks of 7 bits.  Blocks lie in groups of four and
+two texts meet if two blocks of one group agree, which loses a pair of similarity 0.8 with a chance of 1.4 in a hundred
+and one of 0.85 with one in a thousand.  Pairs within ``RADIUS`` bits are candidates (97 of 100 at 0.8, more above), and
+each link is checked on the texts themselves.
+
 Defined cases: null or word-less texts have fingerprint zero and link like any other; equal rows share
-a component; a null id never becomes a component's id (the id is null if the component has no other);
+a component; of rows equal in id and text one stays, of rows that share an id but not the text that with the smaller
+hash of the text comes first; a null id never becomes a component's id (the id is null if the component has no other);
 an empty table gives an empty table; other columns are never read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -22,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
+from pagemill.llm.components import roots
+from pagemill.llm.names import fresh, own
 from pagemill.llm.scratch import Scratch
 from pagemill.llm.words import word_lists
 
@@ -130,24 +141,34 @@ def _scan(bits: int):
 
 def links(fps: DataFrame, scratch: Scratch, bits: int = 4) -> DataFrame:
     """``fps(fp)`` of distinct fingerprints to ``(a, b)``: links enough to keep every component."""
+    rows = fps.select(F.explode(F.array(*_narrow_keys(bits))).alias("key"), "fp")
+    return _dealt(rows, scratch).mapInArrow(_scan(bits), "a bigint, b bigint")
+
+
+def _narrow_keys(bits: int) -> list:
     keys = []
     for t, pair in block_keys(bits):
         key = F.lit(t).cast("bigint")
         for shift, width in pair:
             key = F.shiftleft(key, width).bitwiseOR(F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1).cast("bigint")))
         keys.append(key)
-    rows = fps.select(F.explode(F.array(*keys)).alias("key"), "fp")
+    return keys
+
+
+def _dealt(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """``rows(key, fp, ...)`` sorted by key; keys of many fingerprints are dealt over pairs of tiles."""
+    others = rows.columns[1:]
     hot = scratch.write("hot", rows.groupBy("key").count().where(F.col("count") > 2 * TILE))
     if not hot.isEmpty():
         tiles = F.ceil(F.col("count") / TILE).cast("int")
-        own = F.pmod(F.xxhash64("fp"), F.col("t")).cast("int")
+        at = F.pmod(F.xxhash64("fp"), F.col("t")).cast("int")
         rows = (
             rows.join(hot.select("key", tiles.alias("t")), "key", "left")
-            .withColumn("own", F.coalesce(own, F.lit(0)))
+            .withColumn("at", F.coalesce(at, F.lit(0)))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("t", F.lit(1)) - 1)))
-            .select(F.when(F.col("t").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).alias("key"), "fp")
+            .select(F.when(F.col("t").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("at", "other"), F.greatest("at", "other"))).alias("key"), *others)
         )
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_scan(bits), "a bigint, b bigint")
+    return rows.repartition("key").sortWithinPartitions("key")
 
 
 def components(fps: DataFrame, scratch: Scratch, bits: int = 4) -> DataFrame:
@@ -159,8 +180,6 @@ def components(fps: DataFrame, scratch: Scratch, bits: int = 4) -> DataFrame:
 
 
 def roots_of(fps: DataFrame, scratch: Scratch, bits: int) -> DataFrame:
-    from pagemill.llm.components import roots
-
     return roots(links(fps.select("fp"), scratch, bits), scratch)
 
 
@@ -175,18 +194,230 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(found, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, bits: int = 4, seed: int = 42) -> DataFrame:
-    """The documents with one of each group left: that with the smallest id (nulls last); of repeated rows one."""
-    scratch = Scratch(docs.sparkSession, "simhash")
-    marked = docs.select(F.col(id_col).alias("id"), fingerprint_column(F.col(text_col), size, seed).alias("fp")).checkpoint()
-    fps = scratch.write("fps", marked.groupBy("fp").agg(F.min("id").alias("first")))
-    found = components(fps, scratch, bits).checkpoint()
-    scratch.drop()
-    stays = found.join(fps_first(marked), "fp").where("first <=> component_id").groupBy("root").agg(F.min("fp").alias("__fp"), F.first("component_id").alias("__id"))
-    tagged = docs.withColumn("__f", fingerprint_column(F.col(text_col), size, seed))
-    kept = tagged.join(stays.select("__fp", "__id"), (F.col("__f") == F.col("__fp")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
-    return kept.dropDuplicates([id_col, "__f"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+# ---- near-duplicates by shingle similarity
+
+#: 64-bit words of a wide fingerprint; bits of a block, blocks of a group, groups.
+WORDS, WIDTH, IN_GROUP, GROUPS = 4, 7, 4, 9
+#: Differing bits of candidates, of 256.
+RADIUS = 50
+#: Runs up to this length are compared by offsets over a whole batch, longer ones by a search of their own.
+WIDE_RUN = 64
+_U = np.uint64
+
+
+def shingle_set(text: bytes, size: int = 5) -> np.ndarray:
+    """The sorted hashes of a text's distinct shingles (fewer words: of the whole sequence), ASCII-lower-cased."""
+    digest, carry, out = xxhash.xxh64_digest, [], []
+    for words in word_lists(text.lower()):
+        words = carry + words
+        if len(words) >= size:
+            line = b" ".join(words)
+            ends = list(accumulate(len(w) + 1 for w in words))
+            starts = [0, *ends[:-1]]
+            hashes = b"".join([digest(line[s : e - 1]) for s, e in zip(starts, ends[size - 1 :], strict=False)])
+            out.append(np.unique(np.frombuffer(hashes, dtype=_U)))
+            words = words[len(words) - size + 1 :] if size > 1 else []
+        carry = words
+    if not out and carry:
+        out.append(np.frombuffer(digest(b" ".join(carry)), dtype=_U))
+    return np.unique(np.concatenate(out)) if out else np.empty(0, dtype=_U)
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sets; empty ones are equal."""
+    common = np.intersect1d(a, b, assume_unique=True).size
+    return common / (a.size + b.size - common) if a.size or b.size else 1.0
+
+
+def wide_fingerprint(own: np.ndarray) -> np.ndarray:
+    """The majority bits over ``WORDS`` hashes of each member of a set."""
+    out = np.zeros(WORDS, dtype=_U)
+    for w in range(WORDS):
+        x = own + _U((0x9E3779B97F4A7C15 * (w + 1)) & (2**64 - 1))
+        x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+        bits = np.unpackbits((x ^ (x >> _U(31))).view(np.uint8).reshape(-1, 8), axis=1)
+        counts = np.zeros(64, dtype=np.int64)
+        for at in range(0, len(bits), 255):
+            counts += np.add.reduce(bits[at : at + 255], axis=0, dtype=np.uint8)
+        out[w] = np.packbits(2 * counts > own.size).view(_U)[0]
+    return out
+
+
+def wide_column(text, size: int = 5):
+    @arrow_udf("binary")
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.array([wide_fingerprint(shingle_set(t.as_buffer().to_pybytes() if t.is_valid else b"", size)).tobytes() for t in texts], pa.binary())
+
+    return of(text)
+
 
+def _wide(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=_U).reshape(-1, WORDS)
 
-def fps_first(marked: DataFrame) -> DataFrame:
-    return marked.groupBy("fp").agg(F.min("id").alias("first"))
+
+def wide_keys(fps: np.ndarray) -> np.ndarray:
+    """The keys of each fingerprint, one per pair of blocks of a group."""
+    bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8), axis=1)[:, : GROUPS * IN_GROUP * WIDTH]
+    blocks = bits.reshape(len(fps), GROUPS, IN_GROUP, WIDTH).astype(np.int64) @ (1 << np.arange(WIDTH))
+    pairs = list(combinations(range(IN_GROUP), 2))
+    keys = [(((g * len(pairs) + k) << WIDTH | blocks[:, g, i]) << WIDTH) | blocks[:, g, j] for g in range(GROUPS) for k, (i, j) in enumerate(pairs)]
+    return np.stack(keys, axis=1)
+
+
+def wide_keys_column(fp):
+    @arrow_udf("array<bigint>")
+    def of(fps: pa.Array) -> pa.Array:
+        keys = wide_keys(_wide(fps))
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1]), pa.int32()), pa.array(keys.ravel()))
+
+    return of(fp)
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+
+
+def _pairs_within(keys: np.ndarray, fps: np.ndarray, of: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of runs of equal keys (sorted) that lie within the radius and belong to different ``of``."""
+    cuts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
+    length = np.diff(cuts)
+    small = np.repeat(length <= WIDE_RUN, length)
+    for d in range(1, WIDE_RUN):
+        at = np.flatnonzero((keys[d:] == keys[:-d]) & small[d:])
+        if not at.size:
+            break
+        at = at[of[at] != of[at + d]]
+        at = at[_apart(fps[at], fps[at + d]) <= radius]
+        yield at, at + d
+    for s, n in zip(cuts[:-1][length > WIDE_RUN], length[length > WIDE_RUN], strict=True):
+        for i in range(s, s + n - 1):
+            near = np.flatnonzero((of[i + 1 : s + n] != of[i]))
+            near = near[_apart(fps[i + 1 : s + n][near], fps[i]) <= radius]
+            if near.size:
+                yield np.full(near.size, i), i + 1 + near
+
+
+def _spanning(keys: np.ndarray, fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs that leave a spanning forest of the links within every run of equal keys."""
+    cuts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
+    length = np.diff(cuts)
+    small = np.repeat(length <= WIDE_RUN, length)
+    root: dict[int, int] = {}
+
+    def find(i: int) -> int:
+        while (up := root.get(i, i)) != i:
+            root[i] = root.get(up, up)
+            i = up
+        return i
+
+    first, second = [], []
+    for d in range(1, WIDE_RUN):
+        at = np.flatnonzero((keys[d:] == keys[:-d]) & small[d:])
+        if not at.size:
+            break
+        for i in at[_apart(fps[at], fps[at + d]) <= radius].tolist():
+            a, b = find(i), find(i + d)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                first.append(i)
+                second.append(i + d)
+    yield np.array(first, dtype=np.int64), np.array(second, dtype=np.int64)
+    for s, n in zip(cuts[:-1][length > WIDE_RUN], length[length > WIDE_RUN], strict=True):
+        left = np.arange(s, s + n)
+        while left.size:
+            reach, left = [left[0]], left[1:]
+            while reach and left.size:
+                at = reach.pop()
+                near = _apart(fps[left], fps[at]) <= radius
+                if near.any():
+                    found = left[near]
+                    yield np.full(found.size, at), found
+                    reach.extend(found)
+                    left = left[~near]
+
+
+def _wide_scan(radius: int, every: bool):
+    """Sorted (key, fp, of) to candidate pairs: a forest per key, or ``every`` pair of different ``of``."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[np.ndarray] | None = None
+
+        def told(k, f, of):
+            for a, b in _pairs_within(k, f, of, radius) if every else _spanning(k, f, radius):
+                if a.size:
+                    swap = [(x, y) if x < y else (y, x) for i, j in zip(a.tolist(), b.tolist(), strict=True) if (x := f[i].tobytes()) != (y := f[j].tobytes())]
+                    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in swap], pa.binary()), pa.array([y for _, y in swap], pa.binary())], ["a", "b"])
+
+        for batch in batches:
+            now = [batch.column(0).to_numpy(zero_copy_only=False), _wide(batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False)]
+            if rest is not None:
+                now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
+            k = now[0]
+            if not k.size:
+                continue
+            cut = int(np.flatnonzero(np.r_[True, k[1:] != k[:-1]])[-1])
+            yield from told(*(x[:cut] for x in now))
+            rest = [x[cut:] for x in now]
+        if rest is not None and rest[0].size:
+            yield from told(*rest)
+
+    return scan
+
+
+def similar_column(a, b, size: int, least: float):
+    @arrow_udf("boolean")
+    def of(left: pa.Array, right: pa.Array) -> pa.Array:
+        held = lru_cache(256)(lambda t: shingle_set(t, size))
+        pairs = zip(left, right, strict=True)
+        return pa.array([similarity(*(held(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in pair)) >= least for pair in pairs], pa.bool_())
+
+    return of(a, b)
+
+
+def similar_links(texts: DataFrame, nodes: DataFrame, scratch: Scratch, size: int, least: float, radius: int = RADIUS) -> DataFrame:
+    """``texts(id, mark, text)``, ``nodes(fp, rep)`` to the root of each linked fingerprint, ``(a, b)``.
+
+    First every key's candidates leave a forest, whose links are checked on the texts.  Then all candidates between
+    what is still apart are checked too, so that no link is lost where one of a forest didn't hold.
+    """
+
+    def checked(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = scratch.write(f"{name}-pairs", pairs.distinct())
+        used = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+        reps = nodes.join(used, "fp").select("fp", F.col("rep.id").alias("i"), F.col("rep.mark").alias("m"))
+        said = texts.join(reps, (F.col("mark") == F.col("m")) & F.col("id").eqNullSafe(F.col("i"))).dropDuplicates(["fp"]).select("fp", "text")
+        said = scratch.write(f"{name}-texts", said)
+        both = pairs.join(said.toDF("a", "left"), "a").join(said.toDF("b", "right"), "b")
+        links = scratch.write(f"{name}-links", both.where(similar_column(F.col("left"), F.col("right"), size, least)).select("a", "b"))
+        scratch.drop(f"{name}-pairs", f"{name}-texts")
+        return links
+
+    keys = F.explode(wide_keys_column(F.col("fp"))).alias("key")
+    rows = nodes.select(keys, "fp").select("key", "fp", F.lit(0).cast("bigint").alias("of"))
+    first = checked(_dealt(rows, scratch).mapInArrow(_wide_scan(radius, False), "a binary, b binary"), "first")
+    scratch.settle()
+    found = scratch.write("first-roots", roots(first, scratch))
+    labelled = nodes.select("fp").join(found.toDF("fp", "root"), "fp", "left").select("fp", F.xxhash64(F.coalesce("root", "fp")).alias("of"))
+    rows = labelled.select(keys, "fp", "of")
+    second = checked(_dealt(rows, scratch).mapInArrow(_wide_scan(radius, True), "a binary, b binary"), "second")
+    scratch.settle()
+    return found if second.isEmpty() else roots(found.union(second), scratch)
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8, radius: int = RADIUS) -> DataFrame:
+    """The documents with one of each group of similar ones left: that with the smallest id (nulls last)."""
+    scratch = Scratch(docs.sparkSession, "simhash")
+    mark = F.xxhash64(F.col(text_col), F.col(text_col).isNull())
+    texts = docs.select(F.col(id_col).alias("id"), mark.alias("mark"), F.col(text_col).alias("text"))
+    marked = scratch.write("marked", texts.select("id", "mark", wide_column(F.col("text"), size).alias("fp")))
+    rep = F.struct(F.col("id").isNull().alias("none"), "id", "mark")
+    nodes = scratch.write("nodes", marked.groupBy("fp").agg(F.min(rep).alias("rep")))
+    linked = similar_links(texts, nodes, scratch, size, least, radius)
+    rooted = nodes.join(linked.toDF("fp", "root"), "fp", "left").select("rep", F.coalesce("root", "fp").alias("root"))
+    name, other, key = fresh(docs, "mark", "id_of", "mark_of")
+    stays = rooted.groupBy("root").agg(F.min("rep").alias("rep")).select(F.col("rep.id").alias(other), F.col("rep.mark").alias(key)).checkpoint()
+    repeats = not marked.groupBy("id", "mark").count().where("count > 1").isEmpty()
+    scratch.drop()
+    kept = docs.withColumn(name, mark).join(stays, (F.col(name) == F.col(key)) & F.col(id_col).eqNullSafe(F.col(other)), "left_semi")
+    return (kept.dropDuplicates([id_col, name]) if repeats else kept).select(*own(docs))

@@ -1,7 +1,9 @@
 import random
 
 import corpus_pipeline
-from pagemill.llm import shingles
+import numpy as np
+
+from pagemill.llm import simhash
 
 
 def brute_kept(rows, size=5, least=0.8):
@@ -47,11 +49,36 @@ def test_pipeline_against_brute_force(spark):
     kept = corpus_pipeline.near_duplicates(spark, df, "")
     assert kept.columns == df.columns
     assert sorted((r.doc_id for r in kept.collect()), key=str) == brute_kept(rows)
-    assert shingles.keep_one(df.limit(0)).count() == 0
+    assert simhash.keep_one(df.limit(0)).count() == 0
 
 
 def test_a_large_group_keeps_its_links_linear(spark):
     base = [f"w{i}" for i in range(300)]
     rows = [(i, " ".join([*base[: i % 295], f"own{i}", *base[i % 295 + 1 :]])) for i in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert [r.doc_id for r in shingles.keep_one(df).collect()] == [0]
+    assert [r.doc_id for r in simhash.keep_one(df).collect()] == [0]
+
+
+def test_links_beside_a_forest_are_not_lost(spark, monkeypatch):
+    """In one run of a key, a pair whose forest link fails the check still meets through the second search."""
+    monkeypatch.setattr(simhash, "WIDE_RUN", 2)
+    rows = sample()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id for r in simhash.keep_one(df).collect()), key=str) == brute_kept(rows)
+
+
+def test_recall_of_candidates():
+    """Of pairs at a similarity of 0.8 to 0.82, nine of ten and more share a key within the radius; unrelated ones don't."""
+    rnd = np.random.default_rng(5)
+    met = far = total = 0
+    for _ in range(300):
+        base = rnd.integers(0, 1 << 63, 400, dtype=np.uint64)
+        other = base.copy()
+        other[:42] = rnd.integers(0, 1 << 63, 42, dtype=np.uint64)
+        assert 0.8 <= simhash.similarity(np.unique(base), np.unique(other)) <= 0.82
+        a, b, c = (simhash.wide_fingerprint(np.unique(x)) for x in (base, other, rnd.integers(0, 1 << 63, 400, dtype=np.uint64)))
+        keys = simhash.wide_keys(np.stack([a, b]))
+        total += 1
+        met += bool((keys[0] == keys[1]).any() and np.bitwise_count(a ^ b).sum() <= simhash.RADIUS)
+        far += bool(np.bitwise_count(a ^ c).sum() <= simhash.RADIUS)
+    assert met / total > 0.93 and not far

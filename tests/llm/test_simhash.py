@@ -55,10 +55,6 @@ def test_against_brute_force(spark, monkeypatch, tile):
     df = spark.createDataFrame([(d, t, 0, "x") for d, t in rows], "doc_id long, text string, fp int, component_id string")
     got = sorted((r.doc_id is None, r.doc_id, r.fingerprint, r.component_id) for r in simhash.near_duplicates(df).collect())
     assert got == brute_components(rows)
-    kept = simhash.keep_one(df)
-    assert kept.columns == df.columns
-    # one row per component
-    assert kept.count() == len({c for _, _, _, c in brute_components(rows)})
 
 
 def test_many_close_fingerprints_leave_a_forest():
@@ -81,4 +77,4 @@ def test_long_texts_are_read_in_pieces(monkeypatch):
 
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
-    assert simhash.near_duplicates(df).count() == 0 and simhash.keep_one(df).count() == 0
+    assert simhash.near_duplicates(df).count() == 0
