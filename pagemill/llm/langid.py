@@ -5,6 +5,9 @@ frequency, ties by code points.  A text goes to the language with the least out-
 the text's own profile of the difference in rank, an absent n-gram counting as the whole profile length.
 Profiles are counted over all labelled rows given; no sample is taken.
 
+However many labels there are, profiles are sent to the executors ``LANGUAGES`` at a time, and a text keeps the best
+of them all.
+
 Defined cases: a null text or one without a letter is ``und`` with score 0, as is every text if no language
 was learned; equal distances go to the language that sorts first; rows with a null label teach nothing;
 whole texts are counted, long ones piece by piece; other columns are never read.
@@ -22,13 +25,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
+from pagemill.llm.names import fresh, own
+from pagemill.llm.scratch import Scratch
+
 UNKNOWN = "und"
 #: Texts are counted in pieces of so many characters.
 PIECE = 1 << 20
 #: A partition's counts are sent on when it holds so many distinct n-grams.
 HELD = 1 << 21
-#: Profiles of so many languages at most are sent to all executors.
-MOST_LANGUAGES = 1000
+#: Profiles sent to all executors at once (about 3 kB each).
+LANGUAGES = 1000
+#: Texts further from every profile than this are in none of the languages; random letters come to 0.25 at most.
+LEAST_SCORE = 0.3
 _BIGRAM = np.uint64(1 << 63)
 
 
@@ -108,29 +116,58 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from told()
 
 
-def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", size: int = 400) -> dict[str, np.ndarray]:
-    """A profile of ``size`` n-grams for each non-null label, counted over all rows.
-
-    What reaches the driver is ``size`` keys a language, of ``MOST_LANGUAGES`` at most.
-    """
+def profiles_of(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", size: int = 400) -> DataFrame:
+    """``(lang, gram, rank)``: the ``size`` n-grams of each non-null label, counted over all rows, as a written table."""
     rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
     total = rows.mapInArrow(_count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     # unsigned order of the keys, as in a text's own profile
     key = F.col("gram").bitwiseXOR(F.lit(-(1 << 63)).cast("bigint"))
     best = total.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), key))).where(F.col("rank") <= size)
+    return Scratch(labelled.sparkSession, "languages").write("profiles", best.select("lang", "gram", "rank"))
+
+
+def _parts(best: DataFrame) -> Iterator[dict[str, np.ndarray]]:
+    """Profiles of ``LANGUAGES`` languages at a time, in order of their names; the driver never holds more."""
     found: dict[str, list] = {}
-    for lang, gram, rank in best.select("lang", "gram", "rank").toLocalIterator():
-        found.setdefault(lang, []).append((rank, gram))
-        if len(found) > MOST_LANGUAGES:
-            raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    return {lang: np.array([g for _, g in sorted(found[lang])], dtype=np.int64).view(np.uint64) for lang in sorted(found)}
+
+    def told():
+        return {lang: np.array(grams, dtype=np.int64).view(np.uint64) for lang, grams in found.items()}
+
+    for lang, gram in best.orderBy("lang", "rank").select("lang", "gram").toLocalIterator():
+        if lang not in found and len(found) == LANGUAGES:
+            yield told()
+            found.clear()
+        found.setdefault(lang, []).append(gram)
+    yield told()
+
+
+def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", size: int = 400) -> dict[str, np.ndarray]:
+    """The profiles of all labels, for tables of few."""
+    return {lang: p for part in _parts(profiles_of(labelled, text_col, lang_col, size)) for lang, p in part.items()}
+
+
+def predicted(docs: DataFrame, best: DataFrame, name: str, text_col: str = "text") -> DataFrame:
+    """The documents with ``struct<lang_pred, score>`` in the column ``name``."""
+    size = best.agg(F.max("rank")).first()[0] or 0
+    scratch, done = Scratch(docs.sparkSession, "languages"), False
+    for k, part in enumerate(_parts(best)):
+        now = predict_column(F.col(text_col), part, size)
+        if not done:
+            docs, done = docs.withColumn(name, now), True
+            continue
+        # the plan holds the profiles of one part at a time
+        docs = scratch.write(f"part-{k}", docs)
+        (other,) = fresh(docs, "other")
+        docs = docs.withColumn(other, now)
+        docs = docs.withColumn(name, F.when(F.col(f"{other}.score") > F.col(f"{name}.score"), F.col(other)).otherwise(F.col(name))).drop(other)
+    return docs
 
 
 class Ranks:
     """Ranks of all profiles' n-grams by language, for one lookup a text."""
 
-    def __init__(self, profiles: dict[str, np.ndarray]):
-        self.langs, self.size = sorted(profiles), max([len(p) for p in profiles.values()], default=0)
+    def __init__(self, profiles: dict[str, np.ndarray], size: int | None = None):
+        self.langs, self.size = sorted(profiles), size or max([len(p) for p in profiles.values()], default=0)
         self.keys = np.unique(np.concatenate([*profiles.values(), np.empty(0, np.uint64)]))
         self.ranks = np.full((self.keys.size + 1, len(self.langs)), -1, dtype=np.int64)
         for j, lang in enumerate(self.langs):
@@ -139,20 +176,20 @@ class Ranks:
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or not self.langs:
             return UNKNOWN, 0.0
-        own = profile(*count_ngrams(text), self.size)
-        if not own.size:
+        mine = profile(*count_ngrams(text), self.size)
+        if not mine.size:
             return UNKNOWN, 0.0
-        at = np.searchsorted(self.keys, own)
+        at = np.searchsorted(self.keys, mine)
         at[at >= self.keys.size] = 0
-        ranks = self.ranks[np.where(self.keys[at] == own, at, -1)]
-        away = np.where(ranks < 0, self.size, np.abs(ranks - np.arange(own.size)[:, None])).sum(axis=0)
+        ranks = self.ranks[np.where(self.keys[at] == mine, at, -1)]
+        away = np.where(ranks < 0, self.size, np.abs(ranks - np.arange(mine.size)[:, None])).sum(axis=0)
         best = int(np.argmin(away))
-        return self.langs[best], 1.0 - float(away[best]) / (own.size * self.size)
+        return self.langs[best], 1.0 - float(away[best]) / (mine.size * self.size)
 
 
-def predict_column(text, profiles: dict[str, np.ndarray]):
+def predict_column(text, profiles: dict[str, np.ndarray], size: int | None = None):
     """A column ``struct<lang_pred string, score double>``."""
-    ranks = Ranks(profiles)
+    ranks = Ranks(profiles, size)
 
     @arrow_udf("lang_pred string, score double")
     def of(texts: pa.Array) -> pa.Array:
@@ -176,12 +213,22 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     Learns from the rows whose fold isn't 1; a null id neither teaches nor is held out.
     """
-    profiles = learn(docs.where(fold(id_col) != 1), text_col, lang_col, size)
-    said = docs.select(F.col(id_col), F.coalesce(fold(id_col) == 1, F.lit(False)).alias("held_out"), predict_column(F.col(text_col), profiles).alias("p"))
-    return said.select(id_col, "held_out", "p.lang_pred", "p.score")
+    best = profiles_of(docs.where(fold(id_col) != 1), text_col, lang_col, size)
+    (name,) = fresh(docs, "p")
+    said = predicted(docs.select(F.col(id_col), F.col(text_col)).withColumnRenamed(text_col, name + "_text"), best, name, name + "_text")
+    return said.select(id_col, F.coalesce(fold(id_col) == 1, F.lit(False)).alias("held_out"), f"{name}.lang_pred", f"{name}.score")
+
 
+def keep_known(docs: DataFrame, languages: list[str] | None = None, least_score: float = LEAST_SCORE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", size: int = 400) -> DataFrame:
+    """The documents in one of the languages (all that can be learned, if none are stated), with that score at least.
 
-def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", size: int = 400) -> DataFrame:
-    """The documents that have a language; texts that are null or hold no letter go."""
-    profiles = learn(docs.where(fold(id_col) != 1), text_col, lang_col, size)
-    return docs.withColumn("__p", predict_column(F.col(text_col), profiles)).where(F.col("__p.lang_pred") != UNKNOWN).drop("__p")
+    Texts that are null, hold no letter or lie far from every language go.  Without a single labelled text nothing is
+    learned and every text with a letter stays.
+    """
+    best = profiles_of(docs.where(fold(id_col) != 1), text_col, lang_col, size)
+    if best.isEmpty():
+        return docs.where(F.col(text_col).rlike(r"\p{L}"))
+    (name,) = fresh(docs, "p")
+    found = predicted(docs, best, name, text_col)
+    known = F.col(f"{name}.lang_pred") != UNKNOWN if languages is None else F.col(f"{name}.lang_pred").isin(*languages)
+    return found.where(known & (F.col(f"{name}.score") >= least_score)).select(*own(docs))
