@@ -126,7 +126,54 @@ def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), licences.known(spark))
 
 
-ORACLES["op3_licences"] = licences.duckdb_scan()
+# Digests of the canonical forms, made without the operator.
+ORACLES["op3_licences"] = r"""
+WITH r(license_id, digest) AS (VALUES
+    ('0BSD', '25a274d52b3014d9bd64e0f3362fd279ac1655f163d5c518f6b9f6c43354802c'),
+    ('0BSD', '53695ed162cb0132fe0563719addeac105c8cad72350fae9183e2c74a7c0dbbe'),
+    ('0BSD', '9c842909bcc85365ba7f0d106fccdc3af51784431076174588a9832837ebf153'),
+    ('Apache-2.0', '2316c35019cf9a2053bf351f94a343bdc007a65129922f08ace4116921e508ca'),
+    ('Apache-2.0', '5f8be53487b62bdd7a15603348fde1e5f4f1c00b98b4aff56f59344cc3eb0c13'),
+    ('BSD-2-Clause', '2c570d136b858b0a4d090e301862eacb53fb1ae2743462bf3b89e602191665f7'),
+    ('BSD-2-Clause', '447686a56472ea2e9713ca89034ee666e6646bd1a33eba38690cb875708663e2'),
+    ('BSD-2-Clause', 'a56fee4b2f66331ed54da4950ef9c9391453fd1490b4d8ea202bc29683bcbd30'),
+    ('BSD-3-Clause', '9b83d3dee0616d07b82a272dd9bf5134a9f402b750f5ee6188458073b0a32ff2'),
+    ('BSD-3-Clause', 'cc65957a28f15bbcef5b0c23770aae3bd8462cb25904250f77a812ab3b2efe15'),
+    ('BSD-3-Clause', 'e651765ec94c99c2ea03cf19aceb85785d656ba08685eb0772747c296340cb54'),
+    ('CC-BY-4.0', '52d4141a1d26b6fff4836b2f3004659d9d9577ba87cf2e266ffe2bb9204982be'),
+    ('CC-BY-4.0', '5aee400278b51606c2353a854f7d936ffffe555bf9c67e56d5db376a76b63bb2'),
+    ('CC-BY-NC-4.0', 'c7af20eeb7305c41f4b610126e0ac275be027ac39d96ab015c61c3e6d0658636'),
+    ('CC-BY-NC-4.0', 'e34399ae0e957e9bb9b4a0e3f615d05722861801f4e0718f35cefc762c349a16'),
+    ('GPL-3.0-only', '6bb410158c068cc4d4af5c6dbed9d12d77f96dc55c10e4cb391695208d09fbc1'),
+    ('GPL-3.0-only', 'd77521ab5444e4934d5c0e64409f1ef920e5567d859121b36846519b9bc4ecd1'),
+    ('ISC', '217da0747cec63a2e734185db11cbaa819bcd9e5b83cd12f812128fffe66e26a'),
+    ('ISC', '40e6eb51c3b409d93549806b55b249c261dab149d19b56cc163624f39a08b1db'),
+    ('ISC', 'f172f90a892d869d5d840d5f4363218a9b21bdb1bd3925ba9c752d1660134fee'),
+    ('MIT', '00217f00b903e5911b513ea1f36a2aeb7b8999ee6622cd67b2e675f98285e541'),
+    ('MIT', '0cf21bdfd1964a97a8615e128534845826afbc887edc95aa5c925cbf64386b5c'),
+    ('MIT', '123a3b9fdc300d1b6f077f74b288de15d7f2c5b0b3b11e89fd799b48bfad5940'),
+    ('MIT', '35a446201226de6b27cfb7106d0f6c697f63bfeac2913dcf89024911e66ef164'),
+    ('MIT', '6ad3654379e72bbdf8478d5c90fb1e2525aba033fbe675e0ef2248aac67c0f6f'),
+    ('MIT', '6c833965e9ca4cf8095655005226f24fe8bf7b1605dbe513204837a7371fa127'),
+    ('MIT', 'f191f5007d00f1b971cf7dc8c5a881b6037eb2ba7936bb5f72c7c9693041819a'),
+    ('Unlicense', '248c77414369ce4b842760d0241cb8184f0805a4354f498a6fb7f7b027ee767e'),
+    ('Unlicense', 'b3327fec5d187be034b9d0df5ec141574c40b758467203e7ceb6fcc068141096'),
+    ('Zlib', '1b8c5cd52eceb19ab0bc3cb40be110b1c0e7fa2671a3fe5866e59dd1502e69c7'),
+    ('Zlib', '99618428d879198d4ae824db7ad07a9d0f9214f15429de52839cbe667713f21a'),
+    ('Zlib', 'e8b4b40ce77fe1c6b396712780f759e806aa4252d6177655c74c2f9e80b083db')),
+     l AS (SELECT doc_id, lower(text) AS t, regexp_matches(lower(text), '(?m)^[ \t#*/;-]*(copyright[ \t]*(©|\(c\))|(copyright|©|\(c\))[ \t,]*(by[ \t]+)?(19|20)[0-9]{2})') AS stated FROM documents WHERE text IS NOT NULL),
+     v AS (SELECT doc_id, 1 AS way, stated, regexp_replace(t, '(?m)^[ \t#*/;-]*(copyright[ \t]*(©|\(c\))|(copyright|©|\(c\))[ \t,]*(by[ \t]+)?(19|20)[0-9]{2})[^\n]*$', '', 'g') AS t FROM l
+           UNION ALL SELECT doc_id, 2, stated, regexp_replace(t, '(?m)^[ \t#*/;-]*(copyright[ \t]*(©|\(c\))|(copyright|©|\(c\))[ \t,]*(by[ \t]+)?(19|20)[0-9]{2})[^\n.]*(\.[^ \t\n][^\n.]*)*(\.[ \t]+|\.?$)', ' ', 'g') FROM l WHERE stated),
+     a AS (SELECT doc_id, way, stated, regexp_replace(t, '(?m)^[ \t#*/;-]*all rights reserved\.?[ \t]*$', '', 'g') AS t FROM v),
+     b AS (SELECT doc_id, way, stated, replace(replace(replace(t, 'https://', ' '), 'http://', ' '), '&', ' and ') AS t FROM a),
+     c AS (SELECT doc_id, way, stated, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\blicence', 'license', 'g'), '\bsub-licen[cs]e', 'sublicense', 'g'), '\backnowledgement', 'acknowledgment', 'g'), '\bauthoris', 'authoriz', 'g') AS t FROM b),
+     d AS (SELECT doc_id, way, stated, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\borganis', 'organiz', 'g'), '\bfavour', 'favor', 'g'), '\bwhilst\b', 'while', 'g'), '\bnon-commercial', 'noncommercial', 'g'), '\bper cent\b', 'percent', 'g') AS t FROM c),
+     e AS (SELECT doc_id, way, stated, string_split(regexp_replace(regexp_replace(t, '\bversion ([0-9])', 'v\1', 'g'), '\bv\.? ?([0-9])', 'v\1', 'g'), chr(10)) AS lines FROM d),
+     f AS (SELECT doc_id, way, stated, list_filter(list_transform(lines, lambda x: trim(regexp_replace(x, '[^\pL\pN]+', ' ', 'g'))), lambda x: x <> '') AS lines FROM e),
+     u AS (SELECT doc_id, TRUE AS whole, array_to_string(lines, ' ') AS form FROM f
+           UNION ALL SELECT doc_id, FALSE, unnest(lines) FROM f WHERE way = 2 OR NOT stated)
+SELECT doc_id, license_id, bool_or(whole) AS whole, count(*) FILTER (NOT whole)::BIGINT AS lines FROM u JOIN r ON sha256(form) = digest GROUP BY ALL
+"""
 
 
 @query

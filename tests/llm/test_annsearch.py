@@ -43,3 +43,10 @@ def test_wide_vectors_are_exact():
 def test_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert annsearch.nearest(df, F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_components_of_any_size(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1e200, 1e200]), (2, [1e-200, 1e-200]), (3, [1.0, 0.0]), (4, [5e-324, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.score for r in annsearch.nearest(df, F.col("vec_id") == 0).collect()}
+    assert got.keys() == {1, 2, 3, 4} and all(abs(got[i] - (1 if i < 3 else 0.5**0.5)) < 1e-12 for i in got)

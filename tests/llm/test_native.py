@@ -133,8 +133,57 @@ def test_licences(spark):
         (1, "Copyright (c) 2020 A. Person\n\n" + mit.upper().replace(",", " ;")), (2, mit + " more"), (3, "Prose.\n  Released under the MIT Licence!\nMore."), (4, None), (5, ""),
         (6, "Licensed under the Apache License, version 2.0"), (7, "We are not released under the MIT License."), (6, "Licensed under the Apache License, version 2.0"),
         (8, licences.TEXTS["0BSD"].replace("authorization", "authorisation")),
+        (9, mit.replace("subject to the following conditions:", "subject to the following conditions:\n(c) Commercial use is strictly forbidden.")),
+        (10, "Copyright (c) 2024 Acme. Licensed under the Apache License, Version 2.0."), (11, "MIT License\n\nCopyright 2001, 2003 by A.B. Inc. All rights reserved.\n\n" + mit),
+        (12, "# Copyright (C) The Authors\n# All rights reserved.\n" + licences.TEXTS["BSD-3-Clause"]),
     ]
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, license_id string")
     got = {(r.doc_id, r.license_id, r.whole, r.lines) for r in licences.scan(df, licences.known(spark)).collect()}
-    assert got == {(1, "MIT", True, 0), (3, "MIT", False, 1), (6, "Apache-2.0", True, 2), (8, "0BSD", True, 0)}
+    assert got == {(1, "MIT", True, 0), (3, "MIT", False, 1), (6, "Apache-2.0", True, 2), (8, "0BSD", True, 0), (10, "Apache-2.0", True, 1), (11, "MIT", True, 0), (12, "BSD-3-Clause", True, 0)}
     assert licences.scan(df.limit(0), licences.known(spark)).count() == 0
+
+
+@pytest.mark.parametrize("forms", [1, 101, 5000])
+def test_size_of_a_registry_changes_no_result(spark, forms):
+    """The search for words must not lose a text, whatever is taken out of it."""
+    texts = ["permission is given", "we favour http://x.org & others"]
+    known = [("P", texts[0]), ("F", texts[1])] + [(f"x{i}", f"unrelated{i} words{i}") for i in range(forms - 1)]
+    rows = ["permhttp://ission is given", "PERMISSION -- is\ngiven", "we favor HTTPS://x.org and others", "perm\nission is given", "copyright (c) x\npermission is given", "perm(c) 2020ission is given", "per© mission is given"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {(r.doc_id, r.license_id) for r in licences.scan(df, spark.createDataFrame(known, "license_id string, text string")).collect()}
+    assert got == {(1, "P"), (2, "F"), (4, "P")}
+
+
+def test_licences_from_a_folder(spark, tmp_path):
+    (tmp_path / "Own-1.0.txt").write_text("Do as you like.\nBut be kind.")
+    df = spark.createDataFrame([(1, "do as you like; but be kind")], "doc_id long, text string")
+    assert [(r.license_id, r.whole) for r in licences.scan(df, licences.known(spark, str(tmp_path))).collect()] == [("Own-1.0", True)]
+
+
+def test_targets_that_cannot_be_met(spark):
+    df = _docs(spark)
+    total = sum(t for t, _ in _totals(mixing.mix(df, most_repeats=1.5)).values())
+    with pytest.raises(mixing.Infeasible, match="repeat"):
+        mixing.mix(df, most_repeats=2.0, budget=10 * total)
+    with pytest.raises(mixing.Infeasible, match="nats"):
+        mixing.mix(df, most_repeats=None, least_entropy=5.0)
+    with pytest.raises(mixing.Infeasible, match="repeat"):
+        mixing.mix(df, most_repeats=1.01, least_entropy=1.3)
+
+
+@pytest.mark.parametrize("broadcast", [mixing.BROADCAST_SOURCES, 0])
+def test_other_columns_stay(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", broadcast)
+    names = "block before passes rest copies n_tokens times plan salt bucket source_ p t".split()
+    df = _docs(spark).select("doc_id", "text", "source", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    out = mixing.realise(df, most_repeats=1.5)
+    assert out.columns == df.columns and out.select(*names).distinct().collect() == df.select(*names).distinct().collect()
+    mixed = mixing.mix(df, most_repeats=1.5)
+    assert mixed.columns == [c for c in df.columns if c not in ("copies", "n_tokens")] + ["n_tokens", "copies"]
+    assert mixed.agg(F.sum("copies")).first()[0] == out.count()
+
+
+def test_decontamination_keeps_other_columns(spark):
+    df = spark.createDataFrame([(1, "a b", 5, 6), (2, " ".join(f"w{i}" for i in range(20)), 7, 8)], "doc_id long, text string, key int, __key int")
+    bench = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(20)))], "item_id long, text string")
+    assert [tuple(r) for r in decontaminate.keep_clean(df, bench).collect()] == [(1, "a b", 5, 6)]
