@@ -298,26 +298,28 @@ def _pairs_within(keys: np.ndarray, fps: np.ndarray, of: np.ndarray, radius: int
                 yield np.full(near.size, i), i + 1 + near
 
 
-def _spanning(keys: np.ndarray, fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs that leave a spanning forest of the links within every run of equal keys."""
+def _spanning(keys: np.ndarray, fps: np.ndarray, of: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs that leave, in every run of equal keys, a spanning forest of the links between different ``of``."""
     cuts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
     length = np.diff(cuts)
     small = np.repeat(length <= WIDE_RUN, length)
-    root: dict[int, int] = {}
+    run = np.repeat(np.arange(length.size), length)
+    root: dict[tuple, tuple] = {}
 
-    def find(i: int) -> int:
-        while (up := root.get(i, i)) != i:
-            root[i] = root.get(up, up)
-            i = up
-        return i
+    def find(x: tuple) -> tuple:
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        return x
 
     first, second = [], []
     for d in range(1, WIDE_RUN):
         at = np.flatnonzero((keys[d:] == keys[:-d]) & small[d:])
         if not at.size:
             break
+        at = at[of[at] != of[at + d]]
         for i in at[_apart(fps[at], fps[at + d]) <= radius].tolist():
-            a, b = find(i), find(i + d)
+            a, b = find((run[i], of[i])), find((run[i], of[i + d]))
             if a != b:
                 root[max(a, b)] = min(a, b)
                 first.append(i)
@@ -326,25 +328,28 @@ def _spanning(keys: np.ndarray, fps: np.ndarray, radius: int) -> Iterator[tuple[
     for s, n in zip(cuts[:-1][length > WIDE_RUN], length[length > WIDE_RUN], strict=True):
         left = np.arange(s, s + n)
         while left.size:
-            reach, left = [left[0]], left[1:]
+            own = of[left] == of[left[0]]
+            reach, left = list(left[own]), left[~own]
             while reach and left.size:
                 at = reach.pop()
-                near = _apart(fps[left], fps[at]) <= radius
-                if near.any():
-                    found = left[near]
-                    yield np.full(found.size, at), found
-                    reach.extend(found)
-                    left = left[~near]
+                found = left[_apart(fps[left], fps[at]) <= radius]
+                if found.size:
+                    # one link a label is enough; all rows of these labels are reached with it
+                    labels, one = np.unique(of[found], return_index=True)
+                    yield np.full(one.size, at), found[one]
+                    now = np.isin(of[left], labels)
+                    reach.extend(left[now])
+                    left = left[~now]
 
 
 def _wide_scan(radius: int, every: bool):
-    """Sorted (key, fp, of) to candidate pairs: a forest per key, or ``every`` pair of different ``of``."""
+    """Sorted (key, fp, of) to candidate pairs of different ``of``: a forest per key, or ``every`` pair."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
 
         def told(k, f, of):
-            for a, b in _pairs_within(k, f, of, radius) if every else _spanning(k, f, radius):
+            for a, b in (_pairs_within if every else _spanning)(k, f, of, radius):
                 if a.size:
                     swap = [(x, y) if x < y else (y, x) for i, j in zip(a.tolist(), b.tolist(), strict=True) if (x := f[i].tobytes()) != (y := f[j].tobytes())]
                     yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in swap], pa.binary()), pa.array([y for _, y in swap], pa.binary())], ["a", "b"])
@@ -378,12 +383,13 @@ def similar_column(a, b, size: int, least: float):
 def similar_links(texts: DataFrame, nodes: DataFrame, scratch: Scratch, size: int, least: float, radius: int = RADIUS) -> DataFrame:
     """``texts(id, mark, text)``, ``nodes(fp, rep)`` to the root of each linked fingerprint, ``(a, b)``.
 
-    First every key's candidates leave a forest, whose links are checked on the texts.  Then all candidates between
-    what is still apart are checked too, so that no link is lost where one of a forest didn't hold.
+    First every fingerprint is checked, on the texts, with the least of its candidates: one check a fingerprint, however
+    large its group.  Then a forest of the candidates between what is still apart, then all that are left, so that no
+    link is lost where one of a forest didn't hold.
     """
 
     def checked(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = scratch.write(f"{name}-pairs", pairs.distinct())
+        pairs = scratch.write(f"{name}-pairs", pairs)
         used = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
         reps = nodes.join(used, "fp").select("fp", F.col("rep.id").alias("i"), F.col("rep.mark").alias("m"))
         said = texts.join(reps, (F.col("mark") == F.col("m")) & F.col("id").eqNullSafe(F.col("i"))).dropDuplicates(["fp"]).select("fp", "text")
@@ -393,16 +399,22 @@ def similar_links(texts: DataFrame, nodes: DataFrame, scratch: Scratch, size: in
         scratch.drop(f"{name}-pairs", f"{name}-texts")
         return links
 
-    keys = F.explode(wide_keys_column(F.col("fp"))).alias("key")
-    rows = nodes.select(keys, "fp").select("key", "fp", F.lit(0).cast("bigint").alias("of"))
-    first = checked(_dealt(rows, scratch).mapInArrow(_wide_scan(radius, False), "a binary, b binary"), "first")
-    scratch.settle()
-    found = scratch.write("first-roots", roots(first, scratch))
-    labelled = nodes.select("fp").join(found.toDF("fp", "root"), "fp", "left").select("fp", F.xxhash64(F.coalesce("root", "fp")).alias("of"))
-    rows = labelled.select(keys, "fp", "of")
-    second = checked(_dealt(rows, scratch).mapInArrow(_wide_scan(radius, True), "a binary, b binary"), "second")
-    scratch.settle()
-    return found if second.isEmpty() else roots(found.union(second), scratch)
+    def candidates(labels: DataFrame, every: bool) -> DataFrame:
+        rows = labels.select(F.explode(wide_keys_column(F.col("fp"))).alias("key"), "fp", "of")
+        return _dealt(rows, scratch).mapInArrow(_wide_scan(radius, every), "a binary, b binary")
+
+    def labelled(found: DataFrame) -> DataFrame:
+        return nodes.select("fp").join(found.toDF("fp", "root"), "fp", "left").select("fp", F.xxhash64(F.coalesce("root", "fp")).alias("of"))
+
+    alone = nodes.select("fp", F.xxhash64("fp").alias("of"))
+    links = checked(candidates(alone, False).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
+    found = roots(links, scratch)
+    for name, every in (("second", False), ("third", True)):
+        scratch.settle()
+        more = checked(candidates(labelled(found), every).distinct(), name)
+        if not more.isEmpty():
+            found = roots(found.union(more), scratch)
+    return found
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8, radius: int = RADIUS) -> DataFrame:
