@@ -7,10 +7,11 @@ which keeps the components and not the square of a group.  Components come from
 
 ``keep_one`` uses the same blocks for near-duplicates by shingle similarity.  Texts whose sets of five-word shingles have
 a Jaccard similarity of 0.8 differ in about 15 % of a fingerprint's bits, which no guaranteed split of 64 bits finds.  So
-fingerprints there have 256 bits, over the set of shingles, in 36 blocks of 7 bits.  Blocks lie in groups of four and
+fingerprints there have 512 bits, over the set of shingles, the first 252 in 36 blocks of 7.  Blocks lie in groups of four and
 two texts meet if two blocks of one group agree, which loses a pair of similarity 0.8 with a chance of 1.4 in a hundred
-and one of 0.85 with one in a thousand.  Pairs within ``RADIUS`` bits are candidates (97 of 100 at 0.8, more above), and
-each link is checked on the texts themselves.
+and one of 0.85 with one in a thousand.  Pairs within ``RADIUS`` bits are candidates (98 of 100 at 0.8, more above), and
+each link is checked on the texts themselves.  The checks grow with the number of texts, and with the number of pairs
+whose similarity lies just under 0.8: a group of such texts costs a check a pair.
 
 Defined cases: null or word-less texts have fingerprint zero and link like any other; equal rows share
 a component; of rows equal in id and text one stays, of rows that share an id but not the text that with the smaller
@@ -197,9 +198,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 # ---- near-duplicates by shingle similarity
 
 #: 64-bit words of a wide fingerprint; bits of a block, blocks of a group, groups.
-WORDS, WIDTH, IN_GROUP, GROUPS = 4, 7, 4, 9
-#: Differing bits of candidates, of 256.
-RADIUS = 50
+WORDS, WIDTH, IN_GROUP, GROUPS = 8, 7, 4, 9
+#: Differing bits of candidates, of 512.
+RADIUS = 95
 #: Runs up to this length are compared by offsets over a whole batch, longer ones by a search of their own.
 WIDE_RUN = 64
 _U = np.uint64
@@ -351,8 +352,8 @@ def _wide_scan(radius: int, every: bool):
         def told(k, f, of):
             for a, b in (_pairs_within if every else _spanning)(k, f, of, radius):
                 if a.size:
-                    swap = [(x, y) if x < y else (y, x) for i, j in zip(a.tolist(), b.tolist(), strict=True) if (x := f[i].tobytes()) != (y := f[j].tobytes())]
-                    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in swap], pa.binary()), pa.array([y for _, y in swap], pa.binary())], ["a", "b"])
+                    swap = [(x, y, d) if x < y else (y, x, d) for i, j, d in zip(a.tolist(), b.tolist(), _apart(f[a], f[b]).tolist(), strict=True) if (x := f[i].tobytes()) != (y := f[j].tobytes())]
+                    yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in swap], t) for n, t in enumerate((pa.binary(), pa.binary(), pa.int32()))], ["a", "b", "d"])
 
         for batch in batches:
             now = [batch.column(0).to_numpy(zero_copy_only=False), _wide(batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False)]
@@ -383,7 +384,7 @@ def similar_column(a, b, size: int, least: float):
 def similar_links(texts: DataFrame, nodes: DataFrame, scratch: Scratch, size: int, least: float, radius: int = RADIUS) -> DataFrame:
     """``texts(id, mark, text)``, ``nodes(fp, rep)`` to the root of each linked fingerprint, ``(a, b)``.
 
-    First every fingerprint is checked, on the texts, with the least of its candidates: one check a fingerprint, however
+    First every fingerprint is checked, on the texts, with the nearest of its candidates: one check a fingerprint, however
     large its group.  Then a forest of the candidates between what is still apart, then all that are left, so that no
     link is lost where one of a forest didn't hold.
     """
@@ -401,17 +402,19 @@ def similar_links(texts: DataFrame, nodes: DataFrame, scratch: Scratch, size: in
 
     def candidates(labels: DataFrame, every: bool) -> DataFrame:
         rows = labels.select(F.explode(wide_keys_column(F.col("fp"))).alias("key"), "fp", "of")
-        return _dealt(rows, scratch).mapInArrow(_wide_scan(radius, every), "a binary, b binary")
+        return _dealt(rows, scratch).mapInArrow(_wide_scan(radius, every), "a binary, b binary, d int")
 
     def labelled(found: DataFrame) -> DataFrame:
         return nodes.select("fp").join(found.toDF("fp", "root"), "fp", "left").select("fp", F.xxhash64(F.coalesce("root", "fp")).alias("of"))
 
     alone = nodes.select("fp", F.xxhash64("fp").alias("of"))
-    links = checked(candidates(alone, False).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
+    both = F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y"))))
+    near = candidates(alone, False).select(both.alias("p"), "d").groupBy("p.x").agg(F.min(F.struct("d", "p.y")).alias("n")).select("x", "n.y")
+    links = checked(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "first")
     found = roots(links, scratch)
     for name, every in (("second", False), ("third", True)):
         scratch.settle()
-        more = checked(candidates(labelled(found), every).distinct(), name)
+        more = checked(candidates(labelled(found), every).select("a", "b").distinct(), name)
         if not more.isEmpty():
             found = roots(found.union(more), scratch)
     return found
