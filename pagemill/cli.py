@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.contract import MAX_ZONE_CHARS, AssemblyError, CaptureError, ContractError, QAFailure
-from pagemill.operators import assembly, capture, contracts, qa, segments, zones
+from pagemill.operators import assembly, capture, contracts, qa, report, segments, zones
 from pagemill.operators.nodes import dom_nodes
 from pagemill.plans.cut import cut
 from pagemill.sources import bundle, records
@@ -50,6 +50,10 @@ def parser() -> argparse.ArgumentParser:
         if name in ("assemble", "qa"):
             own.add_argument("--glossary", required=True)
             own.add_argument("--output-dir", required=True)
+        if name == "qa":
+            own.add_argument("--review", help="Parquet with page_id, items: what the review leaves unresolved")
+            own.add_argument("--findings", help="Parquet with page_id, zone_id, dimension, verdict, evidence: what the review found")
+            own.add_argument("--retries", help="Parquet with page_id, zone_id, n; none is 0 for every zone")
     return top
 
 
@@ -64,8 +68,8 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
     def stage(name: str) -> DataFrame:
         return bundle.read_stage(spark, args.run_dir, name)
 
-    def save(df: DataFrame, name: str) -> None:
-        bundle.write_stage(df, args.run_dir, name)
+    def save(df: DataFrame, name: str, again: bool = False) -> None:
+        bundle.write_stage(df, args.run_dir, name, again=again)
 
     if args.command == "capture":
         pages = spark.read.parquet(args.pages).select("page_id", "url", "html")
@@ -128,8 +132,18 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
                 .union(qa.anchors(after))
                 .union(qa.dependencies(after))
             )
-            gates = cut(qa.gate(built, cut(found), spark.createDataFrame([], "page_id bigint, items array<string>")))
-            save(gates, "gates")
+            none = spark.createDataFrame([], "page_id bigint, items array<string>")
+            unresolved = spark.read.parquet(args.review).select("page_id", "items") if args.review else none
+            zeros = stage("zones").select("page_id", F.col("id").alias("zone_id"), F.lit(0).alias("n"))
+            retries = spark.read.parquet(args.retries).select("page_id", "zone_id", "n") if args.retries else zeros
+            noted = spark.read.parquet(args.findings) if args.findings else spark.createDataFrame([], "page_id bigint, zone_id string, dimension string, verdict string, evidence string")
+            if args.findings:
+                _refuse(contracts.review_errors(stage("zones"), noted, retries, unresolved), ContractError)
+            gates = cut(qa.gate(built, cut(found.union(qa.review(unresolved))), unresolved))
+            save(gates, "gates", again=True)
+            translated = merged.select("page_id", "segment_id")
+            save(report.manifests(stage("captures"), rows, stage("zones"), translated, retries, gates), "manifests", again=True)
+            save(report.reports(stage("captures"), gates, noted, unresolved, retries), "reports", again=True)
             _refuse(gates.where("not passed").select("page_id", "required"), QAFailure)
 
 

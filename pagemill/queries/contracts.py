@@ -50,10 +50,13 @@ def j03_id_differences(spark, sf):
     return C.id_differences(want, _results(spark, sf))
 
 
-@query("SELECT o_orderkey AS page_id, 'zone-001' AS id FROM orders WHERE FALSE")
+@query("SELECT o_orderkey AS page_id, 'zone-001' AS id FROM orders WHERE o_orderkey % 5 IN (0, 3)")
 def e03_context_overlap(spark, sf):
-    """Zones whose neighbours are also targets: none here."""
-    return C.overlapping_context(_zones(spark, sf))
+    """Zones whose neighbours are also targets."""
+    zones = _zones(spark, sf)
+    before = F.expr("case page_id % 5 when 0 then array('c', 'b') else context_before_ids end")
+    after = F.expr("case page_id % 5 when 3 then array('a') else context_after_ids end")
+    return C.overlapping_context(zones.withColumns({"context_before_ids": before, "context_after_ids": after}))
 
 
 @query("SELECT o_orderkey AS page_id FROM orders WHERE o_orderkey % 3 <> 1")

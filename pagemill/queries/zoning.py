@@ -105,11 +105,14 @@ def w06_balanced_zones(spark, sf):
     return planned.select("page_id", F.col("id").alias("zone_id"), F.array_join("target_ids", ",").alias("targets"))
 
 
-@query(f"WITH {_DUCK} SELECT DISTINCT page_id FROM seg WHERE FALSE")
+@query(f"WITH {_DUCK} SELECT page_id FROM seg WHERE target GROUP BY page_id HAVING page_id % 5 = 0 OR page_id % 5 = 1 AND count(*) > 1")
 def a04_partition_errors(spark, sf):
-    """Pages whose zones aren't an exact partition of the targets: none."""
+    """Pages whose zones aren't an exact partition of the targets: one lost, or two in the wrong order; all others are."""
     segments = _segments(spark, sf)
-    return Z.partition_errors(segments, Z.plan(segments, _LIMIT))
+    broken = F.expr("case when page_id % 5 = 0 and zone_ord = 1 then slice(target_ids, 2, size(target_ids)) else target_ids end")
+    turned = F.when(F.col("page_id") % 5 == 1, -F.col("zone_ord")).otherwise(F.col("zone_ord"))
+    planned = Z.plan(segments, _LIMIT).select("page_id", turned.alias("zone_ord"), F.when(F.col("page_id") % 5 == 1, F.reverse("target_ids")).otherwise(broken).alias("target_ids"))
+    return Z.partition_errors(segments, planned)
 
 
 @query(f"""WITH {_DUCK}, {_SECT}, {_UNIT} SELECT page_id, min(seg_ord) AS first FROM u GROUP BY page_id, section, unit HAVING sum(n) > 50""")

@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from pagemill.contract import AssemblyError
 
 
-def write_stage(df: DataFrame, root: str, stage: str, buckets: int = 64) -> None:
-    """A stage table, in folders by a hash of the page; an existing one is an error."""
+def write_stage(df: DataFrame, root: str, stage: str, buckets: int = 64, again: bool = False) -> None:
+    """A stage table, in folders by a hash of the page; an existing one is an error, or with ``again`` replaced."""
     placed = df.withColumn("bucket", F.pmod(F.xxhash64("page_id"), F.lit(buckets)).cast("int"))
-    placed.repartition("bucket").write.mode("errorifexists").partitionBy("bucket").parquet(f"{root}/{stage}")
+    placed.repartition("bucket").write.mode("overwrite" if again else "errorifexists").partitionBy("bucket").parquet(f"{root}/{stage}")
 
 
 def read_stage(spark: SparkSession, root: str, stage: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import json
 
 from pagemill import cli
+from pagemill.operators.contracts import DIMENSIONS
 
 
 def test_commands(spark, tmp_path, capsys):
@@ -32,7 +33,18 @@ def test_commands(spark, tmp_path, capsys):
     assert call("validate-translations", "--translations", good) == 0
     assert call("assemble", "--translations", good, "--glossary", glossary, "--output-dir", str(tmp_path / "out")) == 0
     assert "You MUST go(가다)." in (tmp_path / "out/1/index.html").read_text()
-    assert call("qa", "--translations", good, "--glossary", glossary, "--output-dir", str(tmp_path / "out")) == 0
+    qa = ("qa", "--translations", good, "--glossary", glossary, "--output-dir", str(tmp_path / "out"))
+    assert call(*qa) == 0
+    done = json.loads(spark.read.parquet(f"{run}/manifests").first().json)
+    assert done["qa_status"] == "passed" and done["coverage"] == {"segments": 2, "target_segments": 2, "translated_segments": 2, "zones": 1}
+    # an item that the review leaves open fails the command
+    left = table("left", [(1, [f"zone-001:{DIMENSIONS[0]}"])], "page_id long, items array<string>")
+    noted = [(1, "zone-001", d, "pass" if i else "required-fix", "seen") for i, d in enumerate(DIMENSIONS)]
+    noted = table("noted", noted, "page_id long, zone_id string, dimension string, verdict string, evidence string")
+    assert call(*qa, "--review", left, "--findings", noted) == cli.QA
+    assert json.loads(spark.read.parquet(f"{run}/manifests").first().json)["qa_status"] == "failed"
+    assert "FAIL" in spark.read.parquet(f"{run}/reports").first().markdown
+    assert call(*qa, "--findings", noted) == cli.CONTRACT
 
 
 def test_bad_arguments(capsys):
