@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.llm import files
-from pagemill.llm.scratch import Scratch
+from pagemill.llm.scratch import Scratch, batches_of
 from pagemill.llm.words import word_lists
 
 MAGIC = b"PMTOKBIN"
@@ -43,6 +43,8 @@ KEPT_WORDS, LONG_WORD = 1_000_000, 64
 MARK, LINE = b" \x01 ", 256
 #: Words looked up together.
 GROUP = 200_000
+#: Bytes of texts that a worker is sent at once.
+BATCH = "4m"
 
 
 def width_of(vocabulary: int) -> int:
@@ -289,7 +291,9 @@ def write(docs: DataFrame, scratch: Scratch, tokenizer: str, end_id: int, id_col
     """Writes the files; returns the manifest (part, uri, documents, ids, bytes), files in order of part."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    return scratch.write("manifest", ordered.mapInArrow(_write(scratch.path("tokens"), tokenizer, end_id), "part bigint, uri string, documents bigint, ids bigint, bytes bigint"))
+    told = ordered.mapInArrow(_write(scratch.path("tokens"), tokenizer, end_id), "part bigint, uri string, documents bigint, ids bigint, bytes bigint")
+    with batches_of(docs.sparkSession, BATCH):
+        return scratch.write("manifest", told)
 
 
 def read(manifest: DataFrame) -> DataFrame:
