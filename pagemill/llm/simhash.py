@@ -10,8 +10,10 @@ a Jaccard similarity of 0.8 differ in about 15 % of a fingerprint's bits, which
 fingerprints there have 512 bits, over the set of shingles, the first 252 in 36 blocks of 7.  Blocks lie in groups of four and
 two texts meet if two blocks of one group agree, which loses a pair of similarity 0.8 with a chance of 1.4 in a hundred
 and one of 0.85 with one in a thousand.  Pairs within ``RADIUS`` bits are candidates (98 of 100 at 0.8, more above), and
-each link is checked on the texts themselves.  The checks grow with the number of texts, and with the number of pairs
-whose similarity lies just under 0.8: a group of such texts costs a check a pair.
+each link is checked on the texts themselves.  A sketch of each set, the parity of its hashes in ``SKETCH`` places, and the
+set's size bound the similarity from above (two sets differ in no fewer members than their sketches do in bits), so pairs
+that can't reach 0.8 are left out without a check, and none that can.  Of sets of some hundred shingles only pairs just
+under 0.8 are left to be checked in vain; the bound is loose where two sets differ in more than about ``SKETCH`` / 2 members.
 
 Defined cases: null or word-less texts have fingerprint zero and link like any other; equal rows share
 a component; of rows equal in id and text one stays, of rows that share an id but not the text that with the smaller
@@ -21,7 +23,7 @@ an empty table gives an empty table; other columns are never read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import accumulate, combinations
 
@@ -201,6 +203,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 WORDS, WIDTH, IN_GROUP, GROUPS = 8, 7, 4, 9
 #: Differing bits of candidates, of 512.
 RADIUS = 95
+#: Bits of a sketch; 64-bit words of a size and a sketch.
+SKETCH = 1024
+SET_WORDS = 1 + SKETCH // 64
 #: Runs up to this length are compared by offsets over a whole batch, longer ones by a search of their own.
 WIDE_RUN = 64
 _U = np.uint64
@@ -245,16 +250,30 @@ def wide_fingerprint(own: np.ndarray) -> np.ndarray:
     return out
 
 
+def sketch(own: np.ndarray) -> np.ndarray:
+    """The size of a set, and the parity of its members' numbers in each of ``SKETCH`` places."""
+    odd = np.bincount((own % _U(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+    return np.concatenate([np.array([own.size], dtype=_U), np.packbits(odd.astype(np.uint8)).view(_U)])
+
+
+def may_reach(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Whether sets of these sketches can have that similarity: they differ in as many members at least as the sketches in bits."""
+    return _apart(a[..., 1:], b[..., 1:]) <= (a[..., 0] + b[..., 0]).astype(np.float64) * ((1 - least) / (1 + least)) + 1e-6
+
+
 def wide_column(text, size: int = 5):
+    """The wide fingerprint of each text, and behind it the sketch of its set."""
+
     @arrow_udf("binary")
     def of(texts: pa.Array) -> pa.Array:
-        return pa.array([wide_fingerprint(shingle_set(t.as_buffer().to_pybytes() if t.is_valid else b"", size)).tobytes() for t in texts], pa.binary())
+        sets = (shingle_set(t.as_buffer().to_pybytes() if t.is_valid else b"", size) for t in texts)
+        return pa.array([wide_fingerprint(x).tobytes() + sketch(x).tobytes() for x in sets], pa.binary())
 
     return of(text)
 
 
-def _wide(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=_U).reshape(-1, WORDS)
+def _wide(column: pa.Array, words: int = WORDS) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=_U).reshape(-1, words)
 
 
 def wide_keys(fps: np.ndarray) -> np.ndarray:
@@ -279,8 +298,12 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
-def _pairs_within(keys: np.ndarray, fps: np.ndarray, of: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of runs of equal keys (sorted) that lie within the radius and belong to different ``of``."""
+#: Tells which of the rows at the first indices are candidates of those at the second.
+Close = Callable[[np.ndarray, np.ndarray | int], np.ndarray]
+
+
+def _pairs_within(keys: np.ndarray, of: np.ndarray, close: Close) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of runs of equal keys (sorted) that are close and belong to different ``of``."""
     cuts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
     length = np.diff(cuts)
     small = np.repeat(length <= WIDE_RUN, length)
@@ -289,17 +312,17 @@ def _pairs_within(keys: np.ndarray, fps: np.ndarray, of: np.ndarray, radius: int
         if not at.size:
             break
         at = at[of[at] != of[at + d]]
-        at = at[_apart(fps[at], fps[at + d]) <= radius]
+        at = at[close(at, at + d)]
         yield at, at + d
     for s, n in zip(cuts[:-1][length > WIDE_RUN], length[length > WIDE_RUN], strict=True):
         for i in range(s, s + n - 1):
-            near = np.flatnonzero((of[i + 1 : s + n] != of[i]))
-            near = near[_apart(fps[i + 1 : s + n][near], fps[i]) <= radius]
+            near = i + 1 + np.flatnonzero(of[i + 1 : s + n] != of[i])
+            near = near[close(near, i)]
             if near.size:
-                yield np.full(near.size, i), i + 1 + near
+                yield np.full(near.size, i), near
 
 
-def _spanning(keys: np.ndarray, fps: np.ndarray, of: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _spanning(keys: np.ndarray, of: np.ndarray, close: Close) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs that leave, in every run of equal keys, a spanning forest of the links between different ``of``."""
     cuts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
     length = np.diff(cuts)
@@ -319,7 +342,7 @@ def _spanning(keys: np.ndarray, fps: np.ndarray, of: np.ndarray, radius: int) ->
         if not at.size:
             break
         at = at[of[at] != of[at + d]]
-        for i in at[_apart(fps[at], fps[at + d]) <= radius].tolist():
+        for i in at[close(at, at + d)].tolist():
             a, b = find((run[i], of[i])), find((run[i], of[i + d]))
             if a != b:
                 root[max(a, b)] = min(a, b)
@@ -333,7 +356,7 @@ def _spanning(keys: np.ndarray, fps: np.ndarray, of: np.ndarray, radius: int) ->
             reach, left = list(left[own]), left[~own]
             while reach and left.size:
                 at = reach.pop()
-                found = left[_apart(fps[left], fps[at]) <= radius]
+                found = left[close(left, at)]
                 if found.size:
                     # one link a label is enough; all rows of these labels are reached with it
                     labels, one = np.unique(of[found], return_index=True)
@@ -343,20 +366,30 @@ def _spanning(keys: np.ndarray, fps: np.ndarray, of: np.ndarray, radius: int) ->
                     left = left[~now]
 
 
-def _wide_scan(radius: int, every: bool):
-    """Sorted (key, fp, of) to candidate pairs of different ``of``: a forest per key, or ``every`` pair."""
+def _wide_scan(radius: int, every: bool, least: float):
+    """Sorted (key, fp, of) to candidate pairs of different ``of``: a forest per key, or ``every`` pair.
+
+    With a fourth column of sketches, without the pairs that can't reach ``least``.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
 
-        def told(k, f, of):
-            for a, b in (_pairs_within if every else _spanning)(k, f, of, radius):
+        def told(k, f, of, *sets):
+            def close(i, j):
+                near = _apart(f[i], f[j]) <= radius
+                for x in sets:
+                    near[near] = may_reach(x[i[near]], x[j if np.ndim(j) == 0 else j[near]], least)
+                return near
+
+            for a, b in (_pairs_within if every else _spanning)(k, of, close):
                 if a.size:
                     swap = [(x, y, d) if x < y else (y, x, d) for i, j, d in zip(a.tolist(), b.tolist(), _apart(f[a], f[b]).tolist(), strict=True) if (x := f[i].tobytes()) != (y := f[j].tobytes())]
                     yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in swap], t) for n, t in enumerate((pa.binary(), pa.binary(), pa.int32()))], ["a", "b", "d"])
 
         for batch in batches:
             now = [batch.column(0).to_numpy(zero_copy_only=False), _wide(batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False)]
+            now += [_wide(c, SET_WORDS) for c in batch.columns[3:]]
             if rest is not None:
                 now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
             k = now[0]
@@ -382,11 +415,12 @@ def similar_column(a, b, size: int, least: float):
 
 
 def similar_links(texts: DataFrame, nodes: DataFrame, scratch: Scratch, size: int, least: float, radius: int = RADIUS) -> DataFrame:
-    """``texts(id, mark, text)``, ``nodes(fp, rep)`` to the root of each linked fingerprint, ``(a, b)``.
+    """``texts(id, mark, text)``, ``nodes(fp, rep, sketch)`` to the root of each linked fingerprint, ``(a, b)``.
 
     First every fingerprint is checked, on the texts, with the nearest of its candidates: one check a fingerprint, however
     large its group.  Then a forest of the candidates between what is still apart, then all that are left, so that no
-    link is lost where one of a forest didn't hold.
+    link is lost where one of a forest didn't hold.  The second and third search are among fingerprints that have a candidate at all,
+    and leave out pairs whose sketches rule the similarity out.
     """
 
     def checked(pairs: DataFrame, name: str) -> DataFrame:
@@ -401,15 +435,17 @@ def similar_links(texts: DataFrame, nodes: DataFrame, scratch: Scratch, size: in
         return links
 
     def candidates(labels: DataFrame, every: bool) -> DataFrame:
-        rows = labels.select(F.explode(wide_keys_column(F.col("fp"))).alias("key"), "fp", "of")
-        return _dealt(rows, scratch).mapInArrow(_wide_scan(radius, every), "a binary, b binary, d int")
+        rows = labels.select(F.explode(wide_keys_column(F.col("fp"))).alias("key"), *labels.columns)
+        return _dealt(rows, scratch).mapInArrow(_wide_scan(radius, every, least), "a binary, b binary, d int")
 
     def labelled(found: DataFrame) -> DataFrame:
-        return nodes.select("fp").join(found.toDF("fp", "root"), "fp", "left").select("fp", F.xxhash64(F.coalesce("root", "fp")).alias("of"))
+        rows = nodes.join(near.select(F.col("x").alias("fp")), "fp", "left_semi").join(found.toDF("fp", "root"), "fp", "left")
+        return rows.select("fp", F.xxhash64(F.coalesce("root", "fp")).alias("of"), "sketch")
 
     alone = nodes.select("fp", F.xxhash64("fp").alias("of"))
     both = F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y"))))
     near = candidates(alone, False).select(both.alias("p"), "d").groupBy("p.x").agg(F.min(F.struct("d", "p.y")).alias("n")).select("x", "n.y")
+    near = scratch.write("near", near)
     links = checked(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "first")
     found = roots(links, scratch)
     for name, every in (("second", False), ("third", True)):
@@ -425,9 +461,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     scratch = Scratch(docs.sparkSession, "simhash")
     mark = F.xxhash64(F.col(text_col), F.col(text_col).isNull())
     texts = docs.select(F.col(id_col).alias("id"), mark.alias("mark"), F.col(text_col).alias("text"))
-    marked = scratch.write("marked", texts.select("id", "mark", wide_column(F.col("text"), size).alias("fp")))
+    marked = scratch.write("marked", texts.select("id", "mark", wide_column(F.col("text"), size).alias("wide")))
     rep = F.struct(F.col("id").isNull().alias("none"), "id", "mark")
-    nodes = scratch.write("nodes", marked.groupBy("fp").agg(F.min(rep).alias("rep")))
+    parts = [F.substring("wide", a, n).alias(c) for a, n, c in ((1, 8 * WORDS, "fp"), (1 + 8 * WORDS, 8 * SET_WORDS, "sketch"))]
+    nodes = scratch.write("nodes", marked.select("id", "mark", *parts).groupBy("fp").agg(F.min(rep).alias("rep"), F.min_by("sketch", rep).alias("sketch")))
     linked = similar_links(texts, nodes, scratch, size, least, radius)
     rooted = nodes.join(linked.toDF("fp", "root"), "fp", "left").select("rep", F.coalesce("root", "fp").alias("root"))
     name, other, key = fresh(docs, "mark", "id_of", "mark_of")

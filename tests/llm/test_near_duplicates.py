@@ -2,6 +2,7 @@ import random
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 
 from pagemill.llm import simhash
 
@@ -82,3 +83,37 @@ def test_recall_of_candidates():
         met += bool((keys[0] == keys[1]).any() and np.bitwise_count(a ^ b).sum() <= simhash.RADIUS)
         far += bool(np.bitwise_count(a ^ c).sum() <= simhash.RADIUS)
     assert met / total > 0.93 and not far
+
+
+def test_sketches_rule_out_only_what_is_apart():
+    """A pair of 0.8 and more is never left out; of a group of texts just under it, hardly a pair is checked."""
+    rnd = np.random.default_rng(7)
+    for n in (1, 5, 40, 150, 900, 6000):
+        for least in (0.8, 0.5, 1.0):
+            for _ in range(30):
+                a = np.unique(rnd.integers(0, 1 << 63, n, dtype=np.uint64))
+                b = np.unique(np.concatenate([a[: rnd.integers(0, n + 1)], rnd.integers(0, 1 << 63, rnd.integers(0, n // 4 + 1), dtype=np.uint64)]))
+                assert simhash.may_reach(simhash.sketch(a), simhash.sketch(b), least) or simhash.similarity(a, b) < least
+    base = rnd.integers(0, 1 << 63, 146, dtype=np.uint64)
+    group = [np.unique(np.concatenate([np.delete(base, rnd.choice(146, 12, replace=False)), rnd.integers(0, 1 << 63, 12, dtype=np.uint64)])) for _ in range(120)]
+    pairs = [(x, y) for i, x in enumerate(group) for y in group[:i]]
+    close = [np.bitwise_count(simhash.wide_fingerprint(x) ^ simhash.wide_fingerprint(y)).sum() <= simhash.RADIUS for x, y in pairs[:700]]
+    assert max(simhash.similarity(x, y) for x, y in pairs) < 0.79 and sum(close) > 300
+    assert not any(simhash.may_reach(simhash.sketch(x), simhash.sketch(y), 0.8) for x, y in pairs)
+
+
+def test_a_group_just_under_the_threshold_makes_no_pairs(spark):
+    """Texts that share most shingles with a base but too few with each other: each stays, and next to none is paired."""
+    rnd = random.Random(11)
+    rows = []
+    for i in range(100):
+        text = [f"w{k}" for k in range(300)]
+        for k in rnd.sample(range(0, 296, 5), 5):
+            text[k] = f"own{i}x{k}"
+        rows.append((i, " ".join(text)))
+    sets = [simhash.shingle_set(t.encode()) for _, t in rows]
+    columns = [pa.array([0] * 100), pa.array([simhash.wide_fingerprint(x).tobytes() for x in sets]), pa.array(range(100)), pa.array([simhash.sketch(x).tobytes() for x in sets])]
+    plain, bounded = (sum(b.num_rows for b in simhash._wide_scan(simhash.RADIUS, True, 0.8)([pa.RecordBatch.from_arrays(columns[:n], list("abcd")[:n])])) for n in (3, 4))
+    assert plain > 1000 and bounded < 50
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == brute_kept(rows)
