@@ -11,20 +11,33 @@ from pyspark.sql import functions as F
 from pagemill.contract import MARKER, AssemblyError
 from pagemill.functions.build import assemble
 from pagemill.operators.nodes import elements, spread
+from pagemill.operators.segments import CHARS, PAGES
 from pagemill.operators.terminology import normalize_first_use
 
 RESULT = "page_id bigint, html string, error string"
 
 
 def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def told(held):
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(held, (pa.int64(), pa.string(), pa.string()), strict=True)], ["page_id", "html", "error"])
+
+    held, chars = ([], [], []), 0
     for batch in batches:
-        for row in batch.to_pylist():
-            html = error = None
-            try:
-                html = assemble(row["html"], sorted(row["segments"] or [], key=lambda s: s["seg_ord"]), row["url"])
-            except AssemblyError as e:
-                error = str(e)
-            yield pa.RecordBatch.from_arrays([pa.array([row["page_id"]], pa.int64()), pa.array([html], pa.string()), pa.array([error], pa.string())], ["page_id", "html", "error"])
+        for k in range(0, batch.num_rows, PAGES):
+            for row in batch.slice(k, PAGES).to_pylist():
+                html = error = None
+                try:
+                    html = assemble(row["html"], sorted(row["segments"] or [], key=lambda s: s["seg_ord"]), row["url"])
+                except AssemblyError as e:
+                    error = str(e)
+                for x, v in zip(held, (row["page_id"], html, error), strict=True):
+                    x.append(v)
+                chars += len(html or "")
+                if len(held[0]) >= PAGES or chars >= CHARS:
+                    yield told(held)
+                    held, chars = ([], [], []), 0
+    if held[0]:
+        yield told(held)
 
 
 def assemble_pages(marked: DataFrame, segments: DataFrame, translations: DataFrame, glossary: DataFrame, urls: DataFrame) -> DataFrame:
